@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, mixing, quality, rules, tokens, toxicity
+from . import decontam, licenses, lines, mixing, quality, rules, simjoin, tokens, toxicity
 from .classify import bucket
 from .storage import checkpoint_dir
 
@@ -45,6 +45,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.similar_documents(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -72,7 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_source_mixing, op5_license_scan, op7_toxicity, op8_decontamination, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_source_mixing, op5_license_scan, op6_ngram_join, op7_toxicity, op8_decontamination, op9_quality_rules, op10_token_counts)}
 
 #: Characters [\\x20\\x09-\\x0D] in DuckDB.
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
