@@ -7,7 +7,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lines, mixing, quality, rules, simjoin, tokens, toxicity
+from . import decontam, html, licenses, lines, mixing, quality, rules, simjoin, tokens, toxicity
 from .classify import bucket
 from .storage import checkpoint_dir
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lines.apply_bitmaps(docs, lines.dedup_lines(docs), keep=["doc_id"]).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -76,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_quality_classifier, op4_source_mixing, op5_license_scan, op6_ngram_join, op7_toxicity, op8_decontamination, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_quality_classifier, op4_source_mixing, op5_license_scan, op6_ngram_join, op7_toxicity, op8_decontamination, op9_quality_rules, op10_token_counts)}
 
 #: Characters [\\x20\\x09-\\x0D] in DuckDB.
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
