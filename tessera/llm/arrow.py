@@ -47,7 +47,10 @@ def map_text(
     No shuffle; a new column replaces one of its name."""
     extra = extra or []
     kept = without(df, [*(n for n, _ in fields), *extra]) if keep is None else keep
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("string").alias("__text"), *extra)
+    own = text_col in kept and isinstance(df.schema[text_col].dataType, T.StringType)  # then it's sent once
+    at = kept.index(text_col) if own else len(kept)
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if own else [F.col(f"`{text_col}`").cast("string").alias("__text")]), *extra)
+    after = len(kept) + (not own)
     out = T.StructType([*source.schema.fields[: len(kept)], *(T.StructField(n, t, True) for n, t in fields)])
     names = out.fieldNames()
 
@@ -55,8 +58,8 @@ def map_text(
         each = make()
         for batch in batches:
             if batch.num_rows:
-                more = [batch.column(len(kept) + 1 + k).to_pylist() for k in range(len(extra))]
-                new = each(as_bytes(batch.column(len(kept))), *more)
+                more = [batch.column(after + k).to_pylist() for k in range(len(extra))]
+                new = each(as_bytes(batch.column(at)), *more)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=names)
 
     return small_batches(source).mapInArrow(run, out)
