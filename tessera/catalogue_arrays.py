@@ -17,14 +17,13 @@ def vectors(spark, sf_dir):
 
 
 V = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a, list_reverse(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS b FROM embeddings) "
-A, B = F.col("a"), F.col("b")
 
 
 @query(V + """SELECT vec_id, list_contains(a, a[7]) AS has, list_contains(a, 99.5) AS has_not, CAST(coalesce(list_position(a, a[7]), 0) - 1 AS INT) AS first, CAST(len(a) - list_position(b, a[7]) AS INT) AS last, -1 AS absent,
   round(a[4], 6) AS fourth, CAST(len(a) AS INT) AS size, len(a) = 0 AS empty, CAST(len(list_filter(a, lambda x: x > 0)) AS INT) AS positive, CAST(list_position(a, list_max(a)) - 1 AS INT) AS top FROM v""")
 def list_access(spark, sf_dir):
-    s = F.get(A, F.lit(6))
-    return vectors(spark, sf_dir).select("vec_id", arrays.contains(A, s).alias("has"), arrays.contains(A, 99.5).alias("has_not"), arrays.index_of(A, s).alias("first"), arrays.last_index_of(A, s).alias("last"), arrays.index_of(A, 99.5).alias("absent"), rounded(arrays.get(A, 3)).alias("fourth"), arrays.size(A).alias("size"), arrays.is_empty(A).alias("empty"), F.size(arrays.keep(A, lambda x: x > 0)).alias("positive"), arrays.arg_max(A).alias("top"))
+    s = F.get(F.col("a"), F.lit(6))
+    return vectors(spark, sf_dir).select("vec_id", arrays.contains(F.col("a"), s).alias("has"), arrays.contains(F.col("a"), 99.5).alias("has_not"), arrays.index_of(F.col("a"), s).alias("first"), arrays.last_index_of(F.col("a"), s).alias("last"), arrays.index_of(F.col("a"), 99.5).alias("absent"), rounded(arrays.get(F.col("a"), 3)).alias("fourth"), arrays.size(F.col("a")).alias("size"), arrays.is_empty(F.col("a")).alias("empty"), F.size(arrays.keep(F.col("a"), lambda x: x > 0)).alias("positive"), arrays.arg_max(F.col("a")).alias("top"))
 
 
 @query(V + ", w AS (SELECT vec_id, a[1:4] AS a, b[1:3] AS b FROM v) SELECT vec_id, " + ", ".join(f"{sql_list(e)} AS {n}" for n, e in {
@@ -32,16 +31,16 @@ def list_access(spark, sf_dir):
     "part": "a[2:3]", "joined": "list_concat(a, b)", "sorted": "list_sort(a)", "filled": "[2.5, 2.5, 2.5, 2.5]", "plus": "list_transform(a, lambda x: x + 1.5)", "times": "list_transform(a, lambda x: x * 3)", "plus_at": "[a[1], a[2] + 2, a[3], a[4]]", "times_at": "[a[1], a[2] * 2, a[3], a[4]]",
 }.items()) + " FROM w")
 def list_edits(spark, sf_dir):
-    w = vectors(spark, sf_dir).select("vec_id", F.slice(A, 1, 4).alias("a"), F.slice(B, 1, 3).alias("b"))
-    made = {"set_2": arrays.set_at(A, 2, 9.5), "appended": arrays.append(A, 1.5), "inserted": arrays.insert_at(A, 1, 7.5), "inserted_all": arrays.insert_all(A, 1, B), "removed": arrays.remove_at(A, 1), "removed_value": arrays.remove_value(A, F.get(A, F.lit(0))), "part": arrays.sub_list(A, 1, 3), "joined": arrays.add_all(A, B), "sorted": arrays.sort(A), "filled": arrays.fill(A, 2.5), "plus": arrays.plus(A, 1.5), "times": arrays.times(A, 3), "plus_at": arrays.plus_at(A, 1, 2), "times_at": arrays.times_at(A, 1, 2)}
+    w = vectors(spark, sf_dir).select("vec_id", F.slice(F.col("a"), 1, 4).alias("a"), F.slice(F.col("b"), 1, 3).alias("b"))
+    made = {"set_2": arrays.set_at(F.col("a"), 2, 9.5), "appended": arrays.append(F.col("a"), 1.5), "inserted": arrays.insert_at(F.col("a"), 1, 7.5), "inserted_all": arrays.insert_all(F.col("a"), 1, F.col("b")), "removed": arrays.remove_at(F.col("a"), 1), "removed_value": arrays.remove_value(F.col("a"), F.get(F.col("a"), F.lit(0))), "part": arrays.sub_list(F.col("a"), 1, 3), "joined": arrays.add_all(F.col("a"), F.col("b")), "sorted": arrays.sort(F.col("a")), "filled": arrays.fill(F.col("a"), 2.5), "plus": arrays.plus(F.col("a"), 1.5), "times": arrays.times(F.col("a"), 3), "plus_at": arrays.plus_at(F.col("a"), 1, 2), "times_at": arrays.times_at(F.col("a"), 1, 2)}
     return w.select("vec_id", *[round_list(c).alias(n) for n, c in made.items()])
 
 
 @query(V + ", w AS (SELECT vec_id, a[1:4] AS a, b[1:3] AS b FROM v) SELECT vec_id, " + ", ".join(f"{sql_list(f'list_transform([1, 2, 3], lambda i: a[i] {o} b[i])')} AS {n}" for n, o in (("added", "+"), ("subtracted", "-"), ("multiplied", "*"))) + f", {sql_list('list_transform([1, 2, 3], lambda i: a[i] + 0.5 * b[i])')} AS axpy, {sql_list('[a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]]')} AS crossed, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INT) AS retained, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INT) AS removed, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS all_in, false AS near, true AS near_self, true AS same FROM w")
 def list_pairs(spark, sf_dir):
-    w = vectors(spark, sf_dir).select("vec_id", F.slice(A, 1, 4).alias("a"), F.slice(B, 1, 3).alias("b"))
-    a3 = F.slice(A, 1, 3)
-    return w.select("vec_id", round_list(arrays.plus_paired(A, B)).alias("added"), round_list(arrays.minus_paired(A, B)).alias("subtracted"), round_list(arrays.times_paired(A, B)).alias("multiplied"), round_list(arrays.add_scaled(a3, B, 0.5)).alias("axpy"), round_list(arrays.cross(a3, B)).alias("crossed"), F.size(arrays.retain_all(A, B)).alias("retained"), F.size(arrays.remove_all(A, B)).alias("removed"), arrays.contains_all(A, B).alias("all_in"), arrays.approx_equal(A, B).alias("near"), arrays.approx_equal(A, arrays.times(A, 1 + 1e-10)).alias("near_self"), arrays.equal(A, A).alias("same"))
+    w = vectors(spark, sf_dir).select("vec_id", F.slice(F.col("a"), 1, 4).alias("a"), F.slice(F.col("b"), 1, 3).alias("b"))
+    a3 = F.slice(F.col("a"), 1, 3)
+    return w.select("vec_id", round_list(arrays.plus_paired(F.col("a"), F.col("b"))).alias("added"), round_list(arrays.minus_paired(F.col("a"), F.col("b"))).alias("subtracted"), round_list(arrays.times_paired(F.col("a"), F.col("b"))).alias("multiplied"), round_list(arrays.add_scaled(a3, F.col("b"), 0.5)).alias("axpy"), round_list(arrays.cross(a3, F.col("b"))).alias("crossed"), F.size(arrays.retain_all(F.col("a"), F.col("b"))).alias("retained"), F.size(arrays.remove_all(F.col("a"), F.col("b"))).alias("removed"), arrays.contains_all(F.col("a"), F.col("b")).alias("all_in"), arrays.approx_equal(F.col("a"), F.col("b")).alias("near"), arrays.approx_equal(F.col("a"), arrays.times(F.col("a"), 1 + 1e-10)).alias("near_self"), arrays.equal(F.col("a"), F.col("a")).alias("same"))
 
 
 @query("""SELECT event_id, CASE WHEN isnan(x) THEN 0.5 WHEN x = 'inf' THEN 1e9 WHEN x = '-inf' THEN -1e9 ELSE round(x, 6) END AS x FROM (
@@ -63,8 +62,8 @@ def round_half_even(spark, sf_dir):
   round(list_max(list_transform(a, lambda x: abs(x))), 6) AS largest, round(list_sum(list_transform(list_zip(a, b), lambda z: z[1] * z[2])), 6) AS dot, false AS any_nan, round(list_max(a), 6) AS high, round(list_min(a), 6) AS low,
   round(list_max(a) + ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a))))), 6) AS lse FROM v""")
 def vector_norms(spark, sf_dir):
-    made = {"total": arrays.total(A), "mean": arrays.mean(A), "l1": arrays.abs_norm(A), "l2": arrays.two_norm(A), "l2_plain": arrays.norm2(A), "largest": arrays.infinity_norm(A), "dot": arrays.dot(A, B), "high": arrays.max_value(A), "low": arrays.min_value(A), "lse": arrays.log_sum_exp(A)}
-    return vectors(spark, sf_dir).select("vec_id", arrays.any_nan(A).alias("any_nan"), *[rounded(c).alias(n) for n, c in made.items()])
+    made = {"total": arrays.total(F.col("a")), "mean": arrays.mean(F.col("a")), "l1": arrays.abs_norm(F.col("a")), "l2": arrays.two_norm(F.col("a")), "l2_plain": arrays.norm2(F.col("a")), "largest": arrays.infinity_norm(F.col("a")), "dot": arrays.dot(F.col("a"), F.col("b")), "high": arrays.max_value(F.col("a")), "low": arrays.min_value(F.col("a")), "lse": arrays.log_sum_exp(F.col("a"))}
+    return vectors(spark, sf_dir).select("vec_id", arrays.any_nan(F.col("a")).alias("any_nan"), *[rounded(c).alias(n) for n, c in made.items()])
 
 
 SOFT = V + ", e AS (SELECT vec_id, list_transform(a, lambda x: exp(x - list_max(a))) AS e FROM v), p AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e) "
@@ -72,19 +71,19 @@ SOFT = V + ", e AS (SELECT vec_id, list_transform(a, lambda x: exp(x - list_max(
 
 @query(SOFT + f"SELECT vec_id, {sql_list('p', 5)} AS p, {sql_list('list_transform(p, lambda x: x * 10)', 4)} AS scaled, {sql_list('list_transform(p, lambda x: sqrt(x) / list_sum(list_transform(p, lambda y: sqrt(y))))', 5)} AS warm FROM p")
 def softmax(spark, sf_dir):
-    d = vectors(spark, sf_dir).select("vec_id", "a", arrays.softmax(A).alias("s"))
-    return d.select("vec_id", round_list(F.col("s"), 5).alias("p"), round_list(arrays.normalized_softmax(A, 10.0), 4).alias("scaled"), round_list(arrays.reweigh(F.col("s"), 2.0), 5).alias("warm"))
+    d = vectors(spark, sf_dir).select("vec_id", "a", arrays.softmax(F.col("a")).alias("s"))
+    return d.select("vec_id", round_list(F.col("s"), 5).alias("p"), round_list(arrays.normalized_softmax(F.col("a"), 10.0), 4).alias("scaled"), round_list(arrays.reweigh(F.col("s"), 2.0), 5).alias("warm"))
 
 
 @query(SOFT + "SELECT vec_id, round(1 - sqrt(list_sum(list_transform(list_zip(p, list_reverse(p)), lambda z: pow(sqrt(z[1]) - sqrt(z[2]), 2)))) / sqrt(2), 6) AS similarity FROM p")
 def hellinger(spark, sf_dir):
-    d = vectors(spark, sf_dir).select("vec_id", arrays.softmax(A).alias("p"))
+    d = vectors(spark, sf_dir).select("vec_id", arrays.softmax(F.col("a")).alias("p"))
     return d.select("vec_id", rounded(arrays.hellinger_similarity(F.col("p"), F.reverse("p"))).alias("similarity"))
 
 
 @query()
 def sampled_class(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", arrays.sample_class(arrays.softmax(A), F.rand(3)).alias("class"))
+    return vectors(spark, sf_dir).select("vec_id", arrays.sample_class(arrays.softmax(F.col("a")), F.rand(3)).alias("class"))
 
 
 def _act(x: str) -> dict[str, str]:
@@ -125,8 +124,8 @@ def hyperbolic(spark, sf_dir):
 
 @query(V + f"SELECT vec_id, {sql_list('list_transform(a, lambda x: greatest(least(x, 0.5), -0.25))')} AS boxed, {sql_list('list_transform(a, lambda x: greatest(x, 0))')} AS positive, {sql_list('list_transform(a, lambda x: CASE WHEN sqrt(list_sum(list_transform(a, lambda y: y * y))) <= 0.5 THEN x ELSE x * 0.5 / sqrt(list_sum(list_transform(a, lambda y: y * y))) END)')} AS ball FROM v")
 def projections(spark, sf_dir):
-    low, high = F.transform(A, lambda _: F.lit(-0.25)), F.transform(A, lambda _: F.lit(0.5))
-    return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_box(A, low, high)).alias("boxed"), round_list(arrays.project_non_negative(A)).alias("positive"), round_list(arrays.project_ball(A, 0.5)).alias("ball"))
+    low, high = F.transform(F.col("a"), lambda _: F.lit(-0.25)), F.transform(F.col("a"), lambda _: F.lit(0.5))
+    return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_box(F.col("a"), low, high)).alias("boxed"), round_list(arrays.project_non_negative(F.col("a"))).alias("positive"), round_list(arrays.project_ball(F.col("a"), 0.5)).alias("ball"))
 
 
 SIMPLEX = """, d AS (SELECT vec_id, a[1:8] AS a, list_reverse(list_sort(a[1:8])) AS d FROM v),
@@ -136,17 +135,17 @@ t AS (SELECT vec_id, a, list_last(list_filter(list_transform(range(1, 9), lambda
 
 @query(V + SIMPLEX + f"SELECT vec_id, {sql_list('list_transform(a, lambda x: greatest(x - t, 0))')} AS simplex FROM t")
 def project_simplex(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_simplex(F.slice(A, 1, 8))).alias("simplex"))
+    return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_simplex(F.slice(F.col("a"), 1, 8))).alias("simplex"))
 
 
 @query()
 def project_l1_ball(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_l1_ball(F.slice(A, 1, 8), 0.5)).alias("ball"))
+    return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_l1_ball(F.slice(F.col("a"), 1, 8), 0.5)).alias("ball"))
 
 
 @query(V + "SELECT vec_id, '[' || list_aggregate(list_transform(a[1:2], lambda x: printf('%.12E', round(x, 5))), 'string_agg', ', ') || ']' AS text FROM v")
 def list_text(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", arrays.to_text(F.transform(F.slice(A, 1, 2), lambda x: F.round(x, 5))).alias("text"))
+    return vectors(spark, sf_dir).select("vec_id", arrays.to_text(F.transform(F.slice(F.col("a"), 1, 2), lambda x: F.round(x, 5))).alias("text"))
 
 
 # Axes
@@ -159,8 +158,8 @@ def linspace(spark, sf_dir):
 
 @query(V + ", w AS (SELECT vec_id, a[1:4] AS a FROM v), i AS (SELECT vec_id, unnest(a) AS y, generate_subscripts(a, 1) - 1 AS p FROM w) SELECT vec_id, CAST(p - 2 AS DOUBLE) AS whole, p - 1.5::DOUBLE AS half, round(y, 6) AS y FROM i")
 def centered_axes(spark, sf_dir):
-    w = vectors(spark, sf_dir).select("vec_id", F.slice(A, 1, 4).alias("a"))
-    z = F.arrays_zip(grids.centered_int_indexed(A).alias("i"), grids.centered_double_indexed(A).alias("d"))
+    w = vectors(spark, sf_dir).select("vec_id", F.slice(F.col("a"), 1, 4).alias("a"))
+    z = F.arrays_zip(grids.centered_int_indexed(F.col("a")).alias("i"), grids.centered_double_indexed(F.col("a")).alias("d"))
     return w.select("vec_id", F.explode(z).alias("z")).select("vec_id", F.col("z.i.x").alias("whole"), F.col("z.d.x").alias("half"), rounded(F.col("z.i.y")).alias("y"))
 
 

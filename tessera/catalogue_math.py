@@ -14,7 +14,6 @@ from .operators import fourier, interpolate, quadrature
 
 # Distributions, on account balances scaled to useful ranges
 
-X = F.col("x")
 GRID = "WITH g AS (SELECT c_custkey AS id, c_acctbal / 1000 AS x, (c_custkey % 997 + 0.5) / 998 AS p, CAST(c_custkey % 40 AS INT) AS k FROM customer) SELECT id, "
 
 
@@ -41,12 +40,12 @@ PDFS = {
 
 @query(GRID + ", ".join(f"round({e}, 8) AS {n}" for n, (_, e) in PDFS.items()) + " FROM g")
 def densities(spark, sf_dir):
-    return grid(spark, sf_dir).select("id", *[rounded(d.pdf(X / 10 if n == "beta" else X), 8).alias(n) for n, (d, _) in PDFS.items()])
+    return grid(spark, sf_dir).select("id", *[rounded(d.pdf(F.col("x") / 10 if n == "beta" else F.col("x")), 8).alias(n) for n, (d, _) in PDFS.items()])
 
 
 @query(GRID + """round(0.5 + atan((x - 1) / 2) / pi(), 8) AS cauchy, round(CASE WHEN x <= 0 THEN 0 ELSE 1 - exp(-0.7 * x) END, 8) AS exponential, round(greatest(0, least(1, (x - 1) / 5)), 8) AS uniform, round(CASE WHEN x <= 0 THEN 0 ELSE 1 - exp(-pow(x / 4, 1.5)) END, 8) AS weibull FROM g""")
 def cdfs_closed_form(spark, sf_dir):
-    return grid(spark, sf_dir).select("id", *[rounded(PDFS[n][0].cdf(X), 8).alias(n) for n in ("cauchy", "exponential", "uniform", "weibull")])
+    return grid(spark, sf_dir).select("id", *[rounded(PDFS[n][0].cdf(F.col("x")), 8).alias(n) for n in ("cauchy", "exponential", "uniform", "weibull")])
 
 
 @query(GRID + """round(1 + 2 * tan(pi() * (p - 0.5)), 5) AS cauchy, round(-ln(1 - p) / 0.7, 7) AS exponential, round(1 + 5 * p, 7) AS uniform, round(4 * pow(-ln(1 - p), 1 / 1.5), 6) AS weibull FROM g""")
@@ -70,7 +69,7 @@ def cdfs_and_quantiles(spark, sf_dir):
 def cdfs_by_sums(spark, sf_dir):
     """Special-function CDFs against sums of the density."""
     d = spark.range(1, 10).select("id", F.col("id").cast("double").alias("x"))
-    return d.select("id", rounded(PDFS["normal"][0].cdf(X), 3).alias("normal"), rounded(PDFS["gamma"][0].cdf(X), 3).alias("gamma"))
+    return d.select("id", rounded(PDFS["normal"][0].cdf(F.col("x")), 3).alias("normal"), rounded(PDFS["gamma"][0].cdf(F.col("x")), 3).alias("gamma"))
 
 
 CHOOSE = lambda n, k: f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
@@ -117,7 +116,7 @@ def distribution_moments(spark, sf_dir):
 
 @query(GRID + "round(greatest(0, least(1, x / 5)) - greatest(0, least(1, (x - 1) / 5)), 8) AS probability FROM g")
 def interval_probability(spark, sf_dir):
-    return grid(spark, sf_dir).select("id", rounded(D.Uniform(0, 5).probability(X - 1, X), 8).alias("probability"))
+    return grid(spark, sf_dir).select("id", rounded(D.Uniform(0, 5).probability(F.col("x") - 1, F.col("x")), 8).alias("probability"))
 
 
 # Mixers

@@ -142,7 +142,7 @@ def logistic_regression(spark, sf_dir):
     f = solve.sum_objective(d, ["one", "q", "d", "p", "y"], solve.logistic_likelihood, 4)
     a = solve.lbfgs(f, np.zeros(4))
     b = solve.lbfgs(f, np.zeros(4), l1=20.0)
-    return rows(spark, [(n, *map(float, r.point), r.value, r.why) for n, r in (("lbfgs", a), ("orthant_wise", b))], "name string, one double, quantity double, discount double, price double, value double, why string")
+    return rows(spark, [(n, *map(float, r.point), float(r.value), r.why) for n, r in (("lbfgs", a), ("orthant_wise", b))], "name string, one double, quantity double, discount double, price double, value double, why string")
 
 
 @query("SELECT * FROM (VALUES ('newton'), ('broyden'), ('levenberg_marquardt'), ('bounded_levenberg_marquardt'), ('conjugate_gradient'), ('nelder_mead'), ('projected_gradient'), ('simplex_gradient'), ('line')) t(name), (SELECT true AS ok)")
