@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import LOWER, map_text
+from .arrow import LOWER, map_text, without
 
 #: Bytes of benchmark text in one automaton; a larger benchmark has several.
 BLOCK_BYTES = 1 << 20
@@ -263,14 +263,16 @@ def decontaminate(
     blocks = automata(benchmark, window, item_text_col, item_col, block_bytes)
     passes = [blocks[i : i + PASS_BLOCKS] for i in range(0, len(blocks), PASS_BLOCKS)]
     before: list[str] = []
+    carried = list(dict.fromkeys([*(keep or docs.columns), text_col]))
     for k, held in enumerate(passes):
         shared = [spark.sparkContext.broadcast(Automaton(items, window)) for items in held]
         if k + 1 < len(passes):
             names = [f"__spans{k}", f"__items{k}"]
-            docs = map_text(docs, _scanner(shared), list(zip(names, (SPANS, ITEMS), strict=True)), text_col, [*(keep or docs.columns), *before, *([] if not keep or text_col in keep else [text_col])]).checkpoint()
+            fields = list(zip(names, (SPANS, ITEMS), strict=True))
+            docs = map_text(docs, _scanner(shared), fields, text_col, [*carried, *before]).checkpoint()
             before += names
     fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", ITEMS), ("spans", SPANS), ("clean_text", T.StringType())]
-    return map_text(docs, _finisher(shared, max_span), fields, text_col, keep, before)
+    return map_text(docs, _finisher(shared, max_span), fields, text_col, keep or without(docs, [*(n for n, _ in fields), *before]), before)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
