@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpoint_dir
+
 NAN = float("nan")
 
 
@@ -17,6 +19,7 @@ def positions(df: DataFrame, order: list, keys: list[str] | None = None, name: s
     and the partitions' counts, so that no task sees the whole series."""
     if keys:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftrightunsigned("__id", 33)
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))

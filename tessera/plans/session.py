@@ -28,6 +28,13 @@ def tuned(spark: SparkSession, input_bytes: int | None = None, **more: str) -> S
     return spark
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the context's checkpoint folder from spark.checkpoint.dir, where neither is
+    set to a folder of this machine (tests)."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+
+
 def plan(df: DataFrame) -> str:
     return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
