@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import SPACE, map_text
+from .storage import checkpoint_dir
 
 SYMBOLS = b"#*$%&|<>"
 #: Bytes that don't begin a character.
@@ -184,6 +185,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_
     certified. Repeated label rows count once. The counts are written once to the
     shared checkpoint folder, since thresholds and verdicts both read them.
     """
+    checkpoint_dir(docs.sparkSession)
     counted = count_rules(docs, text_col, keep).checkpoint()
     cutoffs = choose_cutoffs(false_rejections(counted, labels), max_false, level)
     return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
