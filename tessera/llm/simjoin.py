@@ -183,79 +183,109 @@ def verified(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     return small_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")).mapInArrow(run, "a long, b long")
 
 
-def compare_bucket(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, side: np.ndarray | None, cells: list[bytes], like: Similarity) -> Iterator[tuple[np.ndarray, int]]:
-    """Entries sorted by n. For each entry the earlier ones, of another component,
-    that no bound excludes. side: of a pair of blocks, the block (else None)."""
-    wide: dict[int, np.ndarray] = {}
-
-    def folded(width: int) -> np.ndarray:
-        """All entries' cells at that width; wider ones are folded, narrower are 0."""
-        if width not in wide:
-            out = np.zeros((len(cells), width), dtype=np.int16)
-            for i, c in enumerate(cells):
-                if len(c) >= width:
-                    out[i] = np.frombuffer(c, dtype=np.uint8).reshape(width, -1).sum(1)
-            wide[width] = out
-        return wide[width]
-
-    full = np.array([max(c) == 255 if c else True for c in cells])
-    sizes = np.array([len(c) for c in cells])
-    begin = 0
-    for i in range(1, len(n)):
-        while like.den * n[begin] < like.num * n[i]:
-            begin += 1
-        j = np.arange(begin, i)
-        j = j[comp[j] != comp[i]]
-        if side is not None:
-            j = j[side[j] != side[i]]
-        if not len(j):
+def units(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of whole units (list, block), of rows sorted by them: at least so many
+    rows where there are as many, and one unit more at most."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < least:
             continue
-        least = like.least(n[j] + n[i])
-        most = np.minimum(pos[j], pos[i]) + 1 + np.minimum(n[j] - pos[j] - 1, n[i] - pos[i] - 1)
-        j = j[most >= least]
-        for width in np.unique(np.minimum(sizes[j], sizes[i])):
-            part = j[np.minimum(sizes[j], sizes[i]) == width]
-            own = folded(int(width))
-            apart = np.abs(own[part] - own[i]).sum(1)
-            allowed = n[part] + n[i] - 2 * like.least(n[part] + n[i])
-            keep = part[(apart <= allowed) | full[part] | full[i]]
-            if len(keep):
-                yield keep, i
+        t = pa.Table.from_batches(held)
+        x, y = t["list"].to_numpy(), t["block"].to_numpy()
+        cuts = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        if len(cuts):
+            cut = int(cuts[-1]) + 1
+            yield t.slice(0, cut)
+            held = t.slice(cut).to_batches()
+            n -= cut
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_pairs(t: pa.Table, like: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (i, j) of pairs of a unit, of different components and sides, that
+    size and position don't exclude. Rows of a unit are sorted by size: pairs d rows
+    apart are compared at once, for d = 1, 2, ... while any are near enough in size."""
+    unit, block, n, pos, comp, side = (t[c].to_numpy().astype(np.int64) for c in ("list", "block", "n", "pos", "comp", "side"))
+    i = np.arange(len(n))
+    d = 0
+    while len(i):
+        d += 1
+        i = i[i + d < len(n)]
+        j = i + d
+        live = (unit[i] == unit[j]) & (block[i] == block[j]) & (like.den * n[i] >= like.num * n[j])
+        i = i[live]  # rows further on are larger still
+        j = i + d
+        ok = (comp[i] != comp[j]) & ((side[i] < 0) | (side[i] != side[j]))
+        u, v = i[ok], j[ok]
+        most = np.minimum(pos[u], pos[v]) + 1 + np.minimum(n[u] - pos[u] - 1, n[v] - pos[v] - 1)
+        ok = most >= like.least(n[u] + n[v])
+        if ok.any():
+            yield u[ok], v[ok]
+
+
+UNIT = ["list", "block", "side", "sid", "n", "pos", "comp"]
+
+
+def with_partner(entries: DataFrame, like: Similarity) -> DataFrame:
+    """The entries that have a near pair in their unit."""
+    dealt = entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "sid").select(*UNIT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(batches):
+            keep = np.zeros(t.num_rows, dtype=bool)
+            for i, j in near_pairs(t, like):
+                keep[i] = keep[j] = True
+            yield from t.filter(pa.array(keep)).to_batches()
+
+    return dealt.mapInArrow(run, dealt.schema)
+
+
+def apart(cells: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric differences of pairs, from their cell counts; the
+    finer one is folded. Full cells bound nothing."""
+    sizes = np.array([len(c) for c in cells])
+    width = np.minimum(sizes[i], sizes[j])
+    out = np.zeros(len(i), dtype=np.int64)
+    for w in np.unique(width):
+        part = width == w
+        rows, place = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+        table = np.zeros((len(rows), w), dtype=np.int32)
+        full = np.zeros(len(rows), dtype=bool)
+        for size in np.unique(sizes[rows]):
+            at = np.flatnonzero(sizes[rows] == size)
+            raw = np.frombuffer(b"".join(cells[r] for r in rows[at]), dtype=np.uint8).reshape(len(at), size)
+            full[at] = (raw == 255).any(1)
+            table[at] = raw.reshape(len(at), w, -1).sum(2)
+        k = int(part.sum())
+        gap = np.abs(table[place[:k]] - table[place[k:]]).sum(1)
+        out[part] = np.where(full[place[:k]] | full[place[k:]], 0, gap)
+    return out
 
 
 def residual_pairs(entries: DataFrame, like: Similarity) -> DataFrame:
-    """entries (list, block, side, sid, n, pos, comp, cells): candidate pairs (a, b)
-    of each list and block, a bounded number of entries each."""
-    dealt = entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "sid")
+    """entries (UNIT and cells): pairs (a, b) that no bound excludes."""
+    dealt = entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "sid").select(*UNIT, "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            num = lambda c: t[c].to_numpy().astype(np.int64)
-            sid, side = num("sid"), num("side")
+        for t in units(batches):
+            sid, n = t["sid"].to_numpy(), t["n"].to_numpy().astype(np.int64)
             cells = t["cells"].to_pylist()
-            for j, i in compare_bucket(num("n"), num("pos"), num("comp"), None if side[0] < 0 else side, cells, like):
-                a, b = np.minimum(sid[j], sid[i]), np.maximum(sid[j], sid[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for i, j in near_pairs(t, like):
+                for at in range(0, len(i), 50_000):
+                    u, v = i[at : at + 50_000], j[at : at + 50_000]
+                    both = n[u] + n[v]
+                    keep = apart(cells, u, v) <= both - 2 * like.least(both)
+                    if keep.any():
+                        x, y = sid[u[keep]], sid[v[keep]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-        key = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1).tolist(), len(x)]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                if (int(x[at]), int(y[at])) != key:
-                    if held:
-                        yield from finish()
-                    held, key = [], (int(x[at]), int(y[at]))
-                held.append(b.slice(at, end - at))
-        if held:
-            yield from finish()
-
-    return dealt.select("list", "block", "side", "sid", "n", "pos", "comp", "cells").mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def blocks(entries: DataFrame) -> DataFrame:
@@ -290,16 +320,20 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
     made = written(doc_sets(source, k, like, hot_classes(source, k)))
     full = made.where(F.col("n") > 0)
-    nodes = written(full.groupBy("hi", "lo").agg(F.min("doc").alias("sid"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("p_hi").alias("p_hi"), F.first("p_lo").alias("p_lo"), F.first("cells").alias("cells")))
+    nodes = full.groupBy("hi", "lo").agg(F.min("doc").alias("sid"), F.count(F.lit(1)).alias("copies"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("p_hi").alias("p_hi"), F.first("p_lo").alias("p_lo"), F.first("cells").alias("cells"))
+    nodes = written(nodes)
     groups = nodes.groupBy("p_hi", "p_lo", "n").agg(F.min("sid").alias("gid"), F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("members"), F.first("prefix").alias("prefix"))
-    posted = groups.select("gid", "p_hi", "p_lo", "copies", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "list"))
-    shared = posted.groupBy("list").agg(F.count(F.lit(1)).alias("entries"), F.min(F.struct(-F.col("copies"), F.col("gid"))).alias("leader")).where(F.col("entries") > 1)
-    postings = written(posted.join(shared.select("list", F.col("leader.gid").alias("leader")), "list"))
+    groups = written(groups)
+    posted = groups.select("gid", "copies", "n", F.posexplode("prefix").alias("pos", "list"))
+    shared = posted.groupBy("list").agg(F.count(F.lit(1)).alias("entries")).where(F.col("entries") > 1).select("list")
+    postings = written(posted.join(shared, "list"))
 
     # Round 1: members and their group's first node; groups and the lists' leaders.
-    members = nodes.join(groups.where("members > 1").select("p_hi", "p_lo", "n", "gid"), ["p_hi", "p_lo", "n"])
+    members = written(nodes.select("sid", "p_hi", "p_lo", "n").join(groups.select("p_hi", "p_lo", "n", "gid", "members"), ["p_hi", "p_lo", "n"]).select("sid", "gid", "n", "members"))
+    leaders = postings.groupBy("list").agg(F.min(F.struct(-F.col("copies"), F.col("gid"))).alias("first")).select("list", F.col("first.gid").alias("leader"))
     proposed = (
-        postings.where(F.col("gid") != F.col("leader")).groupBy("gid", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        postings.select("list", "gid", "n").join(leaders, "list").where(F.col("gid") != F.col("leader"))
+        .groupBy("gid", "leader").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
         .where(F.col("c") >= LEADER_SHARE * (F.col("n") * (den - num) / den))
     )
     stars = written(members.where(F.col("sid") != F.col("gid")).select(F.col("gid").alias("a"), F.col("sid").alias("b")).unionByName(proposed.select(_low("gid", "leader").alias("a"), _high("gid", "leader").alias("b"))).distinct())
@@ -308,13 +342,12 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     labels = connected_components(links)
 
     # Round 2: what is left between components.
-    known = nodes.select("sid", "p_hi", "p_lo", "n", "cells").join(labels.select(F.col("node").alias("sid"), F.col("component").alias("found")), "sid", "left").withColumn("comp", F.coalesce("found", "sid"))
-    wide = known.select("sid", "p_hi", "p_lo", F.col("n").cast("int").alias("n"), "comp")
-    entries = postings.select("list", "pos", "p_hi", "p_lo", "n").join(wide, ["p_hi", "p_lo", "n"]).select("list", "sid", "n", "pos", "comp")
-    inside = members.select("sid", "gid").join(known.select("sid", F.col("n").cast("int").alias("n"), "comp"), "sid").select(F.xxhash64(F.lit("group"), F.col("gid")).alias("list"), "sid", "n", F.lit(0).alias("pos"), "comp")
-    mixed_lists = entries.unionByName(inside)
-    rest = blocks(mixed_lists).join(known.select("sid", "cells"), "sid")
-    pairs = written(residual_pairs(rest, like))
+    comp = F.coalesce("found", "sid").alias("comp")
+    known = written(members.join(labels.select(F.col("node").alias("sid"), F.col("component").alias("found")), "sid", "left").select("sid", "gid", "n", "members", comp))
+    entries = postings.select("list", "pos", "gid").join(known.select("gid", "sid", "n", "comp"), "gid").select("list", "sid", "n", "pos", "comp")
+    inside = known.where("members > 1").select(F.xxhash64(F.lit("group"), F.col("gid")).alias("list"), "sid", "n", F.lit(0).alias("pos"), "comp")
+    rest = written(with_partner(blocks(entries.unionByName(inside)), like))
+    pairs = written(residual_pairs(rest.join(nodes.select("sid", "cells"), "sid"), like))
     more = verified(pairs, whole_sets(source, _ends(pairs), k), like)
     final = connected_components(links.unionByName(more))
     classes = nodes.select("hi", "lo", "sid").join(final.select(F.col("node").alias("sid"), "component"), "sid", "left").select("hi", "lo", F.coalesce("component", "sid").alias("component"))
