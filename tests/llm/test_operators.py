@@ -466,3 +466,15 @@ def test_map_text_replaces_clashing_columns(spark):
     d = spark.createDataFrame([(1, "ab", "x")], "doc_id long, text string, N string")
     got = arrow.map_text(d, lambda: lambda ts: [pa.array([len(t) for t in ts], pa.int64())], [("n", T.LongType())])
     assert got.columns == ["doc_id", "text", "n"] and got.first().n == 2
+
+
+def test_extraction_equals_the_article_on_the_pages_table(spark, sf_dir):
+    """The table's pages hold one <article>; its text by plain string cutting."""
+    import html as entities
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract_text(pages).collect()}
+    for r in pages.collect():
+        body = re.sub(r"</?(?:p|br|h1)[^>]*>", "\n", re.search(r"<article>(.*?)(?:</article>|<footer|$)", r.html, re.S)[1])
+        blocks = (" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in body.split("\n"))
+        assert got[r.page_id] == " ".join(b for b in blocks if b)
