@@ -152,12 +152,17 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None, id_col: st
     small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     held = lambda kind: (lambda d: F.broadcast(d) if small else d)(table.where(F.col("kind") == kind).groupBy("digest").agg(F.min("license").alias("license")))
     texts = held("text").select(F.col("digest").alias("text_sha256"), "license")
-    # Documents of the same text and lines have the same notices: joined once each, by
-    # the list, so that no row has to be numbered.
-    lists = scanned.where(F.size("line_digests") > 0).select("line_digests").distinct()
-    notices = (
+    # Lists of digests, not documents, are joined with the notices; documents without
+    # any, nearly all, stay out of it.
+    named = scanned.where(F.size("line_digests") > 0)
+    lists = named.select("line_digests").distinct()
+    notices = written(
         lists.select("line_digests", F.explode("line_digests").alias("digest")).join(held("notice"), "digest")
-        .groupBy("line_digests").agg(F.sort_array(F.collect_set("license")).alias("found"))
+        .groupBy("line_digests").agg(F.sort_array(F.collect_set("license")).alias("notices"))
     )
-    out = scanned.join(texts, "text_sha256", "left").join(notices, "line_digests", "left")
-    return out.select("doc_id", "text_sha256", "license", F.coalesce("found", F.array().cast("array<string>")).alias("notices"))
+    few = notices.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    none = F.array().cast("array<string>")
+    found = named.join(F.broadcast(notices) if few else notices, "line_digests", "left").select("doc_id", "text_sha256", F.coalesce("notices", none).alias("notices"))
+    rest = scanned.where(F.size("line_digests") == 0).select("doc_id", "text_sha256", none.alias("notices"))
+    out = found.unionByName(rest).join(texts, "text_sha256", "left")
+    return out.select("doc_id", "text_sha256", "license", "notices")
