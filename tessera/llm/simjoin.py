@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .arrow import LOWER, as_bytes, small_batches
 from .components import connected_components
-from .storage import written
+from .storage import remove_tables, tables_now, written
 
 #: What a null id counts as: the smallest.
 NO_ID = -(1 << 63)
@@ -36,6 +36,8 @@ SKETCH_BITS = 22
 #: A task reports buckets of at least TASK_COUNT; those of HOT_COUNT in all are hot.
 TASK_COUNT, HOT_COUNT = 8, 32
 CELLS_MIN, CELLS_MAX = 32, 256
+#: Sets of up to FINE_MOST hashes have FINE cells of two bits instead.
+FINE, FINE_MOST = 1024, 512
 #: Postings of one list that one task compares; longer lists are cut into blocks.
 BLOCK = 4096
 #: A leader is proposed to a group that shares this part of the prefix with it.
@@ -82,7 +84,11 @@ def sketch_place(h: np.ndarray) -> np.ndarray:
 
 
 def cells_of(h: np.ndarray) -> bytes:
-    """Counts of hashes by cell, at most 255 each."""
+    """Counts of hashes by cell. Small sets: FINE cells, at most 3 each, four in a byte,
+    after one byte that tells the form; else fewer cells, at most 255 each."""
+    if len(h) <= FINE_MOST:
+        counts = np.minimum(np.bincount((h & U(FINE - 1)).astype(np.int64), minlength=FINE), 3).reshape(-1, 4)
+        return b"f" + (counts @ np.array([1, 4, 16, 64])).astype(np.uint8).tobytes()
     n = max(CELLS_MIN, min(CELLS_MAX, 1 << max(0, (len(h) // 2 - 1).bit_length())))
     place = (h & U(CELLS_MAX - 1)).astype(np.int64) // (CELLS_MAX // n)
     return np.minimum(np.bincount(place, minlength=n), 255).astype(np.uint8).tobytes()
@@ -246,25 +252,31 @@ def with_partner(entries: DataFrame, like: Similarity) -> DataFrame:
     return dealt.mapInArrow(run, dealt.schema)
 
 
+FINE_BYTES = 1 + FINE // 4
+
+
 def apart(cells: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """A lower bound of the symmetric differences of pairs, from their cell counts; the
-    finer one is folded. Full cells bound nothing."""
+    finer one is folded. Counts that reached their most only make the bound lower; two
+    forms that can't be compared bound nothing."""
     sizes = np.array([len(c) for c in cells])
-    width = np.minimum(sizes[i], sizes[j])
+    width = np.where((sizes[i] == FINE_BYTES) != (sizes[j] == FINE_BYTES), 0, np.minimum(sizes[i], sizes[j]))
     out = np.zeros(len(i), dtype=np.int64)
-    for w in np.unique(width):
-        part = width == w
+    for w in np.unique(width[width > 0]):
+        part = np.flatnonzero(width == w)
         rows, place = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
-        table = np.zeros((len(rows), w), dtype=np.int32)
-        full = np.zeros(len(rows), dtype=bool)
-        for size in np.unique(sizes[rows]):
-            at = np.flatnonzero(sizes[rows] == size)
-            raw = np.frombuffer(b"".join(cells[r] for r in rows[at]), dtype=np.uint8).reshape(len(at), size)
-            full[at] = (raw == 255).any(1)
-            table[at] = raw.reshape(len(at), w, -1).sum(2)
-        k = int(part.sum())
-        gap = np.abs(table[place[:k]] - table[place[k:]]).sum(1)
-        out[part] = np.where(full[place[:k]] | full[place[k:]], 0, gap)
+        if w == FINE_BYTES:
+            raw = np.frombuffer(b"".join(cells[r] for r in rows), dtype=np.uint8).reshape(len(rows), w)[:, 1:]
+            table = ((raw[:, :, None] >> np.array([0, 2, 4, 6], dtype=np.uint8)) & 3).reshape(len(rows), -1).astype(np.int8)
+        else:
+            table = np.zeros((len(rows), w), dtype=np.int32)
+            for size in np.unique(sizes[rows]):
+                at = np.flatnonzero(sizes[rows] == size)
+                table[at] = np.frombuffer(b"".join(cells[r] for r in rows[at]), dtype=np.uint8).reshape(len(at), w, -1).sum(2)
+        k = len(part)
+        for a in range(0, k, 4000):
+            u, v = place[a : min(k, a + 4000)], place[k + a : k + min(k, a + 4000)]
+            out[part[a : a + 4000]] = np.abs(table[u] - table[v]).sum(1, dtype=np.int64)
     return out
 
 
@@ -318,6 +330,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     """
     like = Similarity(num, den)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    before = tables_now()
     made = written(doc_sets(source, k, like, hot_classes(source, k)))
     full = made.where(F.col("n") > 0)
     nodes = full.groupBy("hi", "lo").agg(F.min("doc").alias("sid"), F.count(F.lit(1)).alias("copies"), F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("p_hi").alias("p_hi"), F.first("p_lo").alias("p_lo"), F.first("cells").alias("cells"))
@@ -350,6 +363,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     pairs = written(residual_pairs(rest.join(nodes.select("sid", "cells"), "sid"), like))
     more = verified(pairs, whole_sets(source, _ends(pairs), k), like)
     final = connected_components(links.unionByName(more))
+    remove_tables(before, keep=[made, nodes, final])
     classes = nodes.select("hi", "lo", "sid").join(final.select(F.col("node").alias("sid"), "component"), "sid", "left").select("hi", "lo", F.coalesce("component", "sid").alias("component"))
     out = made.select("doc", "n", "hi", "lo").join(classes, ["hi", "lo"], "left")
     shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

@@ -17,13 +17,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_tables: dict[str, SparkSession] = {}
+
+
+def tables_now() -> set[str]:
+    """Paths of the tables written so far, for remove_tables()."""
+    return set(_tables)
+
+
+def remove_tables(before: set[str], keep: list[DataFrame]) -> None:
+    """Removes tables written since, but for those that the DataFrames in keep read."""
+    needed = {f for d in keep for f in d.inputFiles()}
+    for path in set(_tables) - before:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in needed):
+            _remove(_tables.pop(path), path)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, found again by
     tasks that run anew, and its columns can be pruned. Removed when Python ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _tables:
+        atexit.register(lambda: [_remove(s, p) for p, s in _tables.items()])
+    _tables[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
