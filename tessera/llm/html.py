@@ -12,12 +12,14 @@ from pyspark.sql import types as T
 
 from .arrow import map_text, small_batches
 from .storage import written
-from .wrappers import extract, learn
+from .wrappers import CONSTANT_PAGES, CONSTANT_SHARE, extract, learn, page_keys
 
 #: Pages of a host that its wrapper is inferred from at most.
 SAMPLE_PAGES = 8
 #: A sampled page is read up to so many characters for inference.
 SAMPLE_CHARS = 200_000
+#: Hosts up to which their numbers of pages are broadcast.
+BROADCAST_HOSTS = 100_000
 #: Characters of all wrappers up to which they are broadcast.
 BROADCAST_CHARS = 32 << 20
 #: Parts into which each host's pages are dealt if they aren't.
@@ -30,7 +32,7 @@ def host_of(url: Column) -> Column:
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON: region, constants, wrapper). pages: host, html.
+    """host and wrapper (JSON: region, constants of the sample, wrapper). pages: host, html.
 
     Of each host's SAMPLE_PAGES hash classes, the page of the least hash: an
     aggregation with partial results, so a host with most of the pages is no burden.
@@ -59,24 +61,50 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     return small_batches(dealt).mapInArrow(run, "host string, wrapper string")
 
 
+def host_constants(pages: DataFrame) -> DataFrame:
+    """host and constants: keys of the texts that stand on CONSTANT_SHARE of the host's
+    different pages and on CONSTANT_PAGES at least. pages: host, html.
+
+    Every page is read whole. Copies of a page count once; the null key counts pages.
+    """
+
+    def make():
+        return lambda texts: [pa.array([[None, *page_keys(t.decode())] for t in texts], pa.list_(pa.int64()))]
+
+    named = pages.where(F.length("html") > 0).withColumn("page", F.xxhash64("html"))
+    keys = map_text(named, make, [("keys", T.ArrayType(T.LongType()))], "html", ["host", "page"])
+    once = keys.groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    counts = written(once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONSTANT_PAGES))
+    hosts = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
+    small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    found = _with_host(counts.where(F.col("key").isNotNull()), hosts, "host", "key", small, "inner")
+    return found.where(F.col("n") >= F.ceil(F.col("pages") * CONSTANT_SHARE)).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("constants"))
+
+
+def _with_host(rows: DataFrame, hosts: DataFrame, host: str, key: str, small: bool, how: str) -> DataFrame:
+    """rows joined with hosts (a row for each host). If these aren't small, each goes
+    to SALTS places, and the rows of a host are dealt among them by key."""
+    if small:
+        return rows.join(F.broadcast(hosts), host, how)
+    salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(f"`{key}`"), F.lit(SALTS)).cast("int")).join(salted, [host, "__salt"], how).drop("__salt")
+
+
 def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
     """pages with text and n_chars (its code points).
 
-    text is the article without page furniture, markup and texts that stand on all
-    sampled pages of the host: character references decoded, white space inside a
+    text is the article without page furniture, markup and texts that stand on nearly
+    all different pages of the host, counted over all of them: character references decoded, white space inside a
     block as one space, blocks joined by one space. Null and empty pages give "".
     Pages without a url share the wrapper of host "". Very long pages are read
     whole. Columns called text or n_chars are replaced.
     """
     named = pages.withColumn("__host", host_of(F.col(f"`{url_col}`")))
-    wrappers = written(host_wrappers(named.select(F.col("__host").alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))))
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    slim = wrappers.select(F.col("host").alias("__host"), _slim(F.col("wrapper")).alias("__wrapper"))
-    if size <= BROADCAST_CHARS:
-        joined = named.join(F.broadcast(slim), "__host", "left")
-    else:  # each host's wrapper goes to SALTS places, and its pages are dealt among them
-        salted = slim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = named.withColumn("__salt", F.pmod(F.xxhash64(f"`{html_col}`"), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left").drop("__salt")
+    bodies = named.select(F.col("__host").alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    wrappers = host_wrappers(bodies).join(host_constants(bodies), "host", "left")
+    slim = written(wrappers.select(F.col("host").alias("__host"), _slim(F.col("wrapper"), F.col("constants")).alias("__wrapper")))
+    size = slim.agg(F.coalesce(F.sum(F.length("__wrapper")), F.lit(0))).first()[0]
+    joined = _with_host(named, slim, "__host", html_col, size <= BROADCAST_CHARS, "left")
 
     def make():
         known: dict[str, dict] = {}
@@ -96,9 +124,6 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     return map_text(joined.drop("__host"), make, [("text", T.StringType()), ("n_chars", T.LongType())], html_col, keep, ["__wrapper"])
 
 
-def _slim(wrapper: Column) -> Column:
-    """The wrapper without its node list, which extraction doesn't read."""
-    parsed = F.from_json(wrapper, "region string, constants array<string>")
-    return F.to_json(parsed)
-
-
+def _slim(wrapper: Column, constants: Column) -> Column:
+    """The region and the constants, without the node list, which extraction doesn't read."""
+    return F.to_json(F.struct(F.coalesce(F.get_json_object(wrapper, "$.region"), F.lit("")).alias("region"), F.coalesce(constants, F.array().cast("array<bigint>")).alias("constants")))

@@ -7,13 +7,15 @@ repeated group. What results is a wrapper: a sequence of tags, constant texts,
 slots, optional and repeated groups, without unions.
 
 A wrapper tells which tag paths hold the article (the region with most varying
-text outside of page furniture) and which texts are constant on all pages.
-Pages are then read whole with their host's wrapper.
+text outside of page furniture). Which texts are constant is counted over all pages
+of the host. Pages are then read whole with their host's wrapper.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import math
 import re
 from collections import Counter
 from difflib import SequenceMatcher
@@ -39,6 +41,10 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
+#: A text is constant if it stands on this share of a host's different pages, and on so many.
+CONSTANT_SHARE = 0.9
+CONSTANT_PAGES = 3
+
 TEXT, OPEN, CLOSE = "t", "o", "c"
 
 
@@ -240,14 +246,6 @@ def infer(pages: list[str], most_tokens: int = 4000) -> list:
     return wrapper or []
 
 
-def leaves(nodes: list):
-    for n in nodes:
-        if n[0] in ("opt", "plus"):
-            yield from leaves(n[1])
-        else:
-            yield n
-
-
 def region_of(streams: list[list[tuple]]) -> str:
     """The path under which the article is: an <article> or <main> that holds most of
     the text outside furniture, else the deepest element with three quarters of it."""
@@ -267,15 +265,30 @@ def region_of(streams: list[list[tuple]]) -> str:
     return max(wide, key=lambda p: (p.count("/"), mass[p], p), default="")
 
 
+def block_key(text: str) -> int:
+    """64 bits that stand for a block's text."""
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def page_keys(page: str | None) -> list[int]:
+    """The keys of a whole page's different texts of up to 12 words outside furniture."""
+    texts = {squeeze(text) for _, text, bad in raw_blocks(page) if not bad} if page else ()
+    return [block_key(t) for t in texts if 0 < len(t.split()) <= 12]
+
+
+def constant_keys(pages: list[str]) -> list[int]:
+    """Keys of the texts that stand on nearly all of the different pages."""
+    kept = list(dict.fromkeys(pages))
+    n = Counter(k for p in kept for k in page_keys(p))
+    least = max(CONSTANT_PAGES, math.ceil(CONSTANT_SHARE * len(kept)))
+    return sorted(k for k, x in n.items() if x >= least)
+
+
 def learn(pages: list[str]) -> dict:
-    """What extraction needs of a host: the wrapper, its region, and texts inside the
-    region that stand on three or more different pages alike."""
+    """The wrapper of different pages of one host, its region, and the keys of the
+    texts on nearly all of these pages."""
     kept = list(dict.fromkeys(pages))
-    streams = [stream(p) for p in kept]
-    region = region_of(streams)
-    wrapper = infer(kept)
-    fixed = {n[2] for n in leaves(wrapper) if n[0] == "const" and not n[3] and under(n[1], region) and len(n[2].split()) <= 12} if len(kept) >= 3 else set()
-    return {"region": region, "constants": sorted(fixed), "wrapper": wrapper}
+    return {"region": region_of([stream(p) for p in kept]), "constants": constant_keys(kept), "wrapper": infer(kept)}
 
 
 def under(path: str, region: str) -> bool:
@@ -293,4 +306,4 @@ def extract(page: str | None, known: dict | None) -> str:
         region = region_of([[("t", path, text, bad) for path, text, bad in blocks if not bad and text.strip()]])
     fixed = set(known["constants"]) if known else ()
     texts = (squeeze(text) for path, text, bad in blocks if not bad and under(path, region))
-    return " ".join(t for t in texts if t and t not in fixed)
+    return " ".join(t for t in texts if t and not (fixed and block_key(t) in fixed))

@@ -70,6 +70,21 @@ def test_extract_text_on_odd_pages(spark):
     assert html.extract_text(pages.limit(0)).count() == 0
 
 
+def test_constants_are_counted_over_all_pages(spark):
+    """Only texts on nearly all pages of a host go, whatever the sampled pages show."""
+
+    def page(i):
+        lone = "<h2>Intr</h2><p>more of %d</p>" % i if i % 3 == 0 else ""
+        return f"<body><div id=post><h1>Title {i}</h1><p>text one {i}</p>{lone}<p>Share this page</p></div></body>"
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(40)] + [(100 + i, "http://b.example/x", page(3)) for i in range(5)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} text one {i}" + (f" Intr more of {i}" if i % 3 == 0 else "") for i in range(40))
+    assert got[100] == "Title 3 text one 3 Intr more of 3 Share this page"  # copies are one page
+    known = wrappers.learn([page(i) for i in range(4)])
+    assert "Intr" in wrappers.extract(page(3), known) and "Share this" not in wrappers.extract(page(3), known)
+
+
 # 2
 
 
