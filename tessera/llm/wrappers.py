@@ -247,8 +247,8 @@ def infer(pages: list[str], most_tokens: int = 4000) -> list:
 
 
 def region_of(streams: list[list[tuple]]) -> str:
-    """The path under which the article is: an <article> or <main> that holds most of
-    the text outside furniture, else the deepest element with three quarters of it."""
+    """The path under which the article is: an <article> or <main> that holds a quarter
+    of the text outside furniture, else the deepest element with three quarters of it."""
     mass: Counter = Counter()
     total = 0
     for s in streams:
@@ -271,9 +271,9 @@ def block_key(text: str) -> int:
 
 
 def page_keys(page: str | None) -> list[int]:
-    """The keys of a whole page's different texts of up to 12 words outside furniture."""
+    """The keys of a whole page's different texts outside furniture."""
     texts = {squeeze(text) for _, text, bad in raw_blocks(page) if not bad} if page else ()
-    return [block_key(t) for t in texts if 0 < len(t.split()) <= 12]
+    return [block_key(t) for t in texts if t]
 
 
 def constant_keys(pages: list[str]) -> list[int]:
@@ -284,11 +284,25 @@ def constant_keys(pages: list[str]) -> list[int]:
     return sorted(k for k, x in n.items() if x >= least)
 
 
+def constant_places(nodes: list):
+    """(path, text) of the wrapper's constants; what is optional isn't constant."""
+    for n in nodes:
+        if n[0] == "const":
+            yield n[1], n[2]
+        elif n[0] == "plus":
+            yield from constant_places(n[1])
+
+
 def learn(pages: list[str]) -> dict:
-    """The wrapper of different pages of one host, its region, and the keys of the
-    texts on nearly all of these pages."""
+    """The wrapper of different pages of one host, the region of the texts in its
+    slots and optional groups (of all texts if none vary), and the keys of the texts
+    on nearly all of these pages."""
     kept = list(dict.fromkeys(pages))
-    return {"region": region_of([stream(p) for p in kept]), "constants": constant_keys(kept), "wrapper": infer(kept)}
+    streams = [stream(p) for p in kept]
+    wrapper = infer(kept)
+    held = set(constant_places(wrapper)) if len(kept) > 1 else set()
+    region = region_of([[x for x in s if (x[1], x[2]) not in held] for s in streams]) or region_of(streams)
+    return {"region": region, "constants": constant_keys(kept), "wrapper": wrapper}
 
 
 def under(path: str, region: str) -> bool:

@@ -85,6 +85,17 @@ def test_constants_are_counted_over_all_pages(spark):
     assert "Intr" in wrappers.extract(page(3), known) and "Share this" not in wrappers.extract(page(3), known)
 
 
+def test_alignment_chooses_region_and_constants(spark):
+    """A long text equal on all pages is neither the region nor part of the article."""
+    notice = " ".join(f"word{k}" for k in range(300))
+    pages = [f"<body><section><p>{notice}</p></section><div><h1>Title {i}</h1><p>article text {i} " + "more words " * 5 + f"</p><blockquote>{notice[:200]}</blockquote><p>end {i}</p></div></body>" for i in range(5)]
+    known = wrappers.learn(pages)
+    assert known["region"].endswith("/div")
+    rows = [(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == wrappers.extract(p, known) == f"Title {i} article text {i} " + "more words " * 5 + f"end {i}" for i, p in enumerate(pages))
+
+
 # 2
 
 
