@@ -233,3 +233,47 @@ def matrix_checks(spark, sf_dir):
     a, b = _ab(spark, sf_dir)
     s = matrix.symmetry_error(a.where("j < 20"))
     return s.crossJoin(matrix.approximately_equal(a, b, 1e-6)).crossJoin(matrix.approximately_equal(a, a, 1e-6).withColumnRenamed("equal", "equal_self")).select((F.col("symmetry_error") < 100).alias("bounded"), rounded(F.col("symmetry_error")).alias("symmetry_error"), "equal", "equal_self")
+
+
+# The same on whole tables. A is all embeddings, a row each; B is A with its columns in
+# reverse; G = A^T B. Without twins: the tests compare with NumPy.
+
+
+def _whole(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    a, b = matrix.from_rows(v, "vec_id", "a"), matrix.from_rows(v, "vec_id", "b")
+    return a, b, matrix.multiply(a, b, True)
+
+
+def _whole_product(name: str, make):
+    def run(spark, sf_dir):
+        return make(*_whole(spark, sf_dir)).withColumn("v", rounded(F.col("v")))
+
+    run.__name__ = f"matrix_{name}_all"
+    query()(run)
+
+
+_whole_product("multiply", lambda a, b, g: matrix.multiply(a, g))
+_whole_product("multiply_transposed", lambda a, b, g: matrix.multiply(a, g, False, True))
+_whole_product("transposed_multiply", lambda a, b, g: g)
+_whole_product("multiply_both_transposed", lambda a, b, g: matrix.multiply(g, a, True, True))
+_whole_product("transpose", lambda a, b, g: matrix.transpose(a))
+_whole_product("add_vector", lambda a, b, g: matrix.add_to_columns(a, b.where("j = 0")))
+_whole_product("gemm", lambda a, b, g: matrix.gemm(a, g, a, 0.5, 2.0, False, True))
+_whole_product("trmm", lambda a, b, g: matrix.trmm(g, matrix.transpose(a), True, True, False, True, 1.5))
+
+
+@query()
+def matrix_elementwise_all(spark, sf_dir):
+    a, b, _ = _whole(spark, sf_dir)
+    out = a.select("i", "j")
+    for name, m in {"added": matrix.add(a, b), "subtracted": matrix.minus(a, b), "scaled": matrix.scale(matrix.absolute(a), 2.5), "changed": matrix.set_entry(a, 1, 2, 9.0)}.items():
+        out = out.join(m.select("i", "j", rounded(F.col("v")).alias(name)), ["i", "j"])
+    return out
+
+
+@query()
+def matrix_checks_all(spark, sf_dir):
+    a, b, g = _whole(spark, sf_dir)
+    same = matrix.approximately_equal(a, a, 1e-6).withColumnRenamed("equal", "equal_self")
+    return matrix.symmetry_error(g).crossJoin(matrix.approximately_equal(a, b, 1e-6)).crossJoin(same).select(rounded(F.col("symmetry_error")).alias("symmetry_error"), "equal", "equal_self")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .catalogue import query, round_list, rounded, rows, sql_list, table
 from .functions import bits
 from .functions import distributions as D
-from .operators import fourier, interpolate, quadrature
+from .operators import fourier, interpolate, quadrature, series
 
 # Distributions, on account balances scaled to useful ranges
 
@@ -167,13 +167,45 @@ def dft_inverse(spark, sf_dir):
     return b.select("k", (rounded(F.col("re"), 5) + 0.0).alias("re"), (F.abs("im") < 1e-9).alias("im_zero"))
 
 
+def _whole_signal(spark, sf_dir):
+    """All events' values in the order of their ids, and their number."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"))
+    return series.positions(e, ["event_id"]), e.count()
+
+
+@query()
+def dft_all(spark, sf_dir):
+    """The transform of all events in n log n steps; the tests compare with NumPy."""
+    d, n = _whole_signal(spark, sf_dir)
+    f = fourier.series_fft(d, "x", "pos", n)
+    return f.select("k", (rounded(F.col("re"), 5) + 0.0).alias("re"), (rounded(F.col("im"), 5) + 0.0).alias("im"), rounded(F.col("re") * F.col("re") + F.col("im") * F.col("im"), 3).alias("power"))
+
+
+@query()
+def dft_inverse_all(spark, sf_dir):
+    d, n = _whole_signal(spark, sf_dir)
+    f = fourier.series_fft(d, "x", "pos", n)
+    b = fourier.series_fft(f.withColumnRenamed("k", "pos"), "re", "pos", n, True, "im")
+    return b.select("k", (rounded(F.col("re"), 5) + 0.0).alias("re"), (F.abs("im") < 1e-9).alias("im_zero"))
+
+
 EM = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings WHERE vec_id < 100), u AS (SELECT vec_id, unnest(a) AS x, generate_subscripts(a, 1) - 1 AS p FROM v), f AS (SELECT vec_id, k, sum(x * cos(-2 * pi() * ((p * k) % 64) / 64)) AS re, sum(x * sin(-2 * pi() * ((p * k) % 64) / 64)) AS im FROM u, (SELECT unnest(range(0, 64)) AS k) GROUP BY ALL), l AS (SELECT vec_id, list(re ORDER BY k) AS re, list(im ORDER BY k) AS im, list(re * re + im * im ORDER BY k) AS pw FROM f GROUP BY vec_id) "
 
 
 @query(EM + f"SELECT vec_id, {sql_list('pw', 4)} AS power, {sql_list('list_transform(pw, lambda x: x / 64)', 4)} AS scaled, {sql_list('list_concat(pw[33:64], pw[1:32])', 4)} AS shifted, true AS back, true AS unshifted FROM l")
 def fft_power(spark, sf_dir):
+    return _fft_power(table(spark, sf_dir, "embeddings").where("vec_id < 100"))
+
+
+@query()
+def fft_power_all(spark, sf_dir):
+    """fft_power of all embeddings; the tests compare with NumPy."""
+    return _fft_power(table(spark, sf_dir, "embeddings"))
+
+
+def _fft_power(rows):
     a = F.transform("embedding", lambda x: x.cast("double"))
-    d = table(spark, sf_dir, "embeddings").where("vec_id < 100").select("vec_id", a.alias("a")).withColumn("c", fourier.fft(F.col("a"))).withColumn("r", fourier.ifft(F.col("c")))
+    d = rows.select("vec_id", a.alias("a")).withColumn("c", fourier.fft(F.col("a"))).withColumn("r", fourier.ifft(F.col("c")))
     p = fourier.power(F.col("c"))
     near = F.forall(F.zip_with("a", "r.re", lambda x, y: F.abs(x - y) < 1e-9), lambda t: t)
     return d.select("vec_id", round_list(p, 4).alias("power"), round_list(fourier.power_scaled(F.col("c")), 4).alias("scaled"), round_list(fourier.shift(p), 4).alias("shifted"), near.alias("back"), (fourier.unshift(fourier.shift(F.col("a"))) == F.col("a")).alias("unshifted"))

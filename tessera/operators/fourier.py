@@ -3,6 +3,8 @@ in NumPy on series that are array values (any length)."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,39 @@ def dft(df: DataFrame, x: str, pos: str, n: int, frequencies: int | None = None,
     return rows.groupBy("k").agg((F.sum(F.col("__r") * F.cos(angle) - F.col("__i") * F.sin(angle)) * scale).alias("re"), (F.sum(F.col("__r") * F.sin(angle) + F.col("__i") * F.cos(angle)) * scale).alias("im"))
 
 
+def series_fft(df: DataFrame, x: str, pos: str, n: int, inverse: bool = False, im: str | None = None) -> DataFrame:
+    """k, re, im of a series of n rows with positions 0 to n - 1, as dft() in n log n steps.
+
+    n = a b, a the largest divisor up to the root: the b strided series of a values are
+    transformed, turned, and the a series of b values they make are transformed. A
+    task holds one of these, n values if n is prime.
+    """
+    a = max(d for d in range(1, math.isqrt(n) + 1) if n % d == 0)
+    b = n // a
+    sign = 1 if inverse else -1
+    start = df.select(F.col(pos).cast("long").alias("p"), *[(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c else F.lit(0.0)).alias(o) for c, o in ((x, "re"), (im, "im"))])
+
+    def transformed(z: np.ndarray) -> np.ndarray:
+        return np.fft.ifft(z) * len(z) if inverse else np.fft.fft(z)
+
+    def strided(g: pd.DataFrame) -> pd.DataFrame:  # positions p = b q + r of one r
+        z = np.zeros(a, dtype=complex)
+        p = g["p"].to_numpy()
+        np.add.at(z, p // b, g["re"].to_numpy() + 1j * g["im"].to_numpy())
+        r, k = int(p[0] % b), np.arange(a)
+        z = transformed(z) * np.exp(sign * 2j * np.pi * (r * k % n) / n)
+        return pd.DataFrame({"k": k, "r": r, "re": z.real, "im": z.imag})
+
+    def crossed(g: pd.DataFrame) -> pd.DataFrame:  # frequencies k + a m of one k
+        z = np.zeros(b, dtype=complex)
+        z[g["r"].to_numpy()] = g["re"].to_numpy() + 1j * g["im"].to_numpy()
+        z = transformed(z) / (n if inverse else 1)
+        return pd.DataFrame({"k": int(g["k"].iloc[0]) + a * np.arange(b), "re": z.real, "im": z.imag})
+
+    first = start.groupBy(F.pmod("p", F.lit(b)).alias("r")).applyInPandas(strided, "k long, r long, re double, im double")
+    return first.groupBy("k").applyInPandas(crossed, "k long, re double, im double")
+
+
 _COMPLEX = "struct<re:array<double>,im:array<double>>"
 
 

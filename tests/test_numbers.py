@@ -292,3 +292,46 @@ def test_plans(spark, sf_dir):
     q = stats.summarize(d.where("l_quantity > 10"), ["l_returnflag"], "l_extendedprice")
     assert session.scanned_columns(q) == {"l_quantity", "l_returnflag", "l_extendedprice"}
     assert any("GreaterThan(l_quantity" in f for f in session.pushed_filters(q)) and session.exchanges(q) == 1 and not session.python_nodes(q)
+
+
+def test_whole_table_matrices(spark, sf_dir):
+    """The _all queries work on every embedding."""
+    from tessera import catalogue
+
+    a = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()], dtype=float)
+    b = a[:, ::-1]
+    g = a.T @ b
+    t = np.triu(g, 1) + np.eye(len(g))
+    want = {"multiply": a @ g, "multiply_transposed": a @ g.T, "transposed_multiply": g, "multiply_both_transposed": g.T @ a.T, "transpose": a.T, "add_vector": a + b[:, :1], "gemm": 0.5 * a @ g.T + 2 * a, "trmm": 1.5 * t @ a.T}
+    for name, m in want.items():
+        d = catalogue.QUERIES[f"matrix_{name}_all"](spark, sf_dir).toPandas()
+        got = np.full(m.shape, NAN)
+        got[d.i, d.j] = d.v
+        assert len(d) == m.size and np.allclose(got, m, atol=2e-6), name
+    d = catalogue.QUERIES["matrix_elementwise_all"](spark, sf_dir).toPandas()
+    changed = a.copy()
+    changed[1, 2] = 9
+    for name, m in {"added": a + b, "subtracted": a - b, "scaled": 2.5 * abs(a), "changed": changed}.items():
+        assert len(d) == m.size and np.allclose(d[name], m[d.i, d.j], atol=2e-6), name
+    c = catalogue.QUERIES["matrix_checks_all"](spark, sf_dir).first()
+    assert abs(c.symmetry_error - abs(g - g.T).max()) < 2e-6 and not c["equal"] and c.equal_self
+
+
+def test_whole_table_transforms(spark, sf_dir):
+    from tessera import catalogue
+
+    x = np.array([r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select("value").collect()])
+    f = np.fft.fft(x)
+    d = catalogue.QUERIES["dft_all"](spark, sf_dir).toPandas().sort_values("k")
+    assert list(d.k) == list(range(len(x))) and np.allclose(d.re + 1j * d.im, f, atol=2e-5) and np.allclose(d.power, abs(f) ** 2, rtol=1e-9, atol=1e-2)
+    d = catalogue.QUERIES["dft_inverse_all"](spark, sf_dir).toPandas().sort_values("k")
+    assert np.allclose(d.re, x, atol=2e-5) and d.im_zero.all()
+    for n in (1, 7, 12):  # one value, a prime, a composite number
+        z = [(i, float(i * i % 5), float(i % 3)) for i in range(n)]
+        s = spark.createDataFrame(z, "pos long, x double, y double")
+        got = fourier.series_fft(s, "x", "pos", n, im="y").orderBy("k").toPandas()
+        assert np.allclose(got.re + 1j * got.im, np.fft.fft([a + 1j * b for _, a, b in z]))
+    a = np.array([r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()], dtype=float)
+    d = catalogue.QUERIES["fft_power_all"](spark, sf_dir).orderBy("vec_id").toPandas()
+    assert len(d) == len(a) and d.back.all() and d.unshifted.all()
+    assert np.allclose([[float(v) for v in r.split(",")] for r in d.power], abs(np.fft.fft(a)) ** 2, atol=2e-4)
