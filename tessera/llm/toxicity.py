@@ -25,9 +25,8 @@ from .classify import compressor, fit_logistic, probability, rebased, sample, sh
 
 WINDOW = 128
 OVERLAP = 16
-MARKS = 32
-#: Marks have at least this share of the strongest mark's weight.
-LEAST_SHARE = 0.08
+#: Chance that any word beginning is taken for a mark that isn't one (Bonferroni).
+MARK_ERROR = 1e-4
 BASE_BYTES = 24_000
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 PARAMS = {"window_log": 16, "hash_log": 15, "chain_log": 15, "search_log": 3, "min_match": 5, "target_length": 64, "strategy": zstandard.STRATEGY_GREEDY}
@@ -90,24 +89,27 @@ def contexts(texts: list[bytes]) -> tuple[Counter, int]:
     return n, len(pairs)
 
 
-def marks(a: list[bytes], b: list[bytes], most: int = MARKS) -> list[bytes]:
+def marks(a: list[bytes], b: list[bytes]) -> list[bytes]:
     """Word beginnings far more frequent in a than in b, by different contexts,
-    strongest first, none part of another."""
+    strongest first, none part of another: all for which the likelihood ratio test
+    of equal shares fails, so what is rare against the strongest isn't left out."""
     (n, n_all), (m, m_all) = contexts(a), contexts(b)
+    tried = [g for g, x in n.items() if x >= 4]
     found = []
-    for g, x in n.items():
-        p, q = (x + 0.5) / (n_all + 1), (m[g] + 0.5) / (m_all + 1)
-        if x >= 4 and p > 4 * q:
-            found.append((-(x - q * n_all) * math.log(p / q), g))
+    for g in tried:
+        x, z = n[g], m[g]
+        if (x + 0.5) / (n_all + 1) > 4 * (z + 0.5) / (m_all + 1):
+            both = (x + z) / (n_all + m_all)
+            ratio = 2 * (x * math.log(x / n_all / both) + (z * math.log(z / m_all / both) if z else 0.0))
+            if math.erfc(math.sqrt(max(ratio, 0.0) / 2)) / 2 * len(tried) < MARK_ERROR:
+                found.append((-ratio, g))
     longer: dict[bytes, list[bytes]] = {}
     for g in n:
         longer.setdefault(g[:-1], []).append(g)
         if g.endswith(b" "):
             longer.setdefault(g[:-2], []).append(g)
     out: list[bytes] = []
-    for score, g in sorted(found):
-        if len(out) == most or score > LEAST_SHARE * min(found)[0]:
-            break
+    for _, g in sorted(found):
         x, grown = n[g], g
         while more := [h for h in longer.get(grown, ()) if n[h] >= 0.8 * x]:  # as long as nearly all its words go on so
             grown = max(more, key=lambda h: (n[h], h))

@@ -361,6 +361,20 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[200] == got[150] == 150 and 100 not in got and set(v for k, v in got.items() if k >= 300) == {300}
 
 
+def test_marks_have_neither_cap_nor_share_of_the_strongest():
+    rng = random.Random(5)
+    words = [f"w{k:03d}x" for k in range(400)]
+    plain = lambda k: [rng.choice(words) for _ in range(k)]
+    ordinary = [" ".join(plain(30)).encode() for _ in range(900)]
+    rude = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}rude" for k in range(40)]
+    common = [" ".join(w for x in plain(30) for w in (x, "idiot")) for _ in range(60)]
+    toxic = common + [" ".join(w for x in plain(12) for w in (x, r)) for r in rude for _ in range(2)]
+    got = toxicity.marks([t.encode() for t in toxic], ordinary)
+    assert any(b"idiot" in g for g in got)
+    assert all(any(r.encode() in g for g in got) for r in rude)
+    assert not any(w.encode() in got for w in words)
+
+
 # 8
 
 
