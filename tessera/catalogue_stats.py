@@ -161,8 +161,9 @@ def p_square_median(spark, sf_dir):
 
 @query()
 def bootstrap_mean(spark, sf_dir):
-    """Intervals of the mean account balance of one segment (a bounded sample)."""
-    v = np.array([r[0] for r in table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_acctbal").limit(resample.SAMPLE_MOST).toLocalIterator()])
+    """Intervals of the mean account balance of one segment; an error if the segment
+    is larger than the bound of a sample."""
+    v = resample.whole_sample(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"), "c_acctbal")
     reps = resample.bootstrap(spark, v, "mean", 2000, 7)
     low, high = resample.bca_interval(reps, v, "mean")
     return resample.summary(reps).withColumns({"bca_lower": F.lit(low), "bca_upper": F.lit(high)})

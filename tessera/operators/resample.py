@@ -21,11 +21,21 @@ SAMPLE_MOST = 5_000_000
 STATISTICS: dict[str, Callable[[np.ndarray], float]] = {"mean": np.mean, "median": np.median, "variance": lambda v: np.var(v, ddof=1) if len(v) > 1 else 0.0, "stddev": lambda v: np.std(v, ddof=1) if len(v) > 1 else 0.0, "sum": np.sum}
 
 
+def _check_size(n: int) -> None:
+    if not 0 < n <= SAMPLE_MOST:
+        raise ValueError(f"the sample has {n} values; 1 to {SAMPLE_MOST} are possible, use poisson_bootstrap beyond")
+
+
+def whole_sample(df: DataFrame, x: str) -> np.ndarray:
+    """All values of x, counted before they are collected; too many are an error."""
+    _check_size(df.count())
+    return np.array([r[0] for r in df.select(x).toLocalIterator()])
+
+
 def bootstrap(spark: SparkSession, sample: np.ndarray, statistic: str | Callable[[np.ndarray], float] = "mean", iterations: int = 1000, seed: int = 0) -> DataFrame:
     """replicate, value: the statistic of iterations resamples with replacement."""
     sample = np.asarray(sample, dtype=float)
-    if not 0 < len(sample) <= SAMPLE_MOST:
-        raise ValueError(f"the sample has {len(sample)} values; 1 to {SAMPLE_MOST} are possible, use poisson_bootstrap beyond")
+    _check_size(len(sample))
     f = STATISTICS[statistic] if isinstance(statistic, str) else statistic
     held = spark.sparkContext.broadcast(sample)
 

@@ -335,3 +335,12 @@ def test_whole_table_transforms(spark, sf_dir):
     d = catalogue.QUERIES["fft_power_all"](spark, sf_dir).orderBy("vec_id").toPandas()
     assert len(d) == len(a) and d.back.all() and d.unshifted.all()
     assert np.allclose([[float(v) for v in r.split(",")] for r in d.power], abs(np.fft.fft(a)) ** 2, atol=2e-4)
+
+
+def test_bootstrap_of_too_large_a_segment(spark, sf_dir, monkeypatch):
+    """No prefix stands for the segment."""
+    from tessera import catalogue
+
+    monkeypatch.setattr(resample, "SAMPLE_MOST", 10)
+    with pytest.raises(ValueError, match="poisson_bootstrap"):
+        catalogue.QUERIES["bootstrap_mean"](spark, sf_dir)
