@@ -73,6 +73,79 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 For more information, please refer to <https://unlicense.org/>""",
 }
 
+LICENSES["BSD-3-Clause"] = LICENSES["BSD-2-Clause"].replace(
+    "\n\nTHIS SOFTWARE",
+    "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE",
+)
+
+#: Titles that stand above these licences.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+
+#: Fixed values: (digest, canonical length) of long licences, as Debian has their texts: with and
+#: without title, with and without what follows the terms, with http and https.
+LONG_TEXTS = {
+    "Apache-2.0": (
+        ("045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847", 9821),
+        ("108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87", 8805),
+        ("2136ccf013476faf84009ad5c667369e6718de5a3d755f97ad14c74f000e9f6f", 8736),
+        ("46262ed7a2a06fdac885b37f111be9b18bbde572ab1edbd2f416d673551ab967", 8806),
+        ("62c23944e22c7e1579b00eab372c8062d04f03e360aaab08b4030b71d5eac153", 9823),
+        ("6ed232a1aaf66db92997c53c056b853f2a64b9f74585489f71cbae1bb4d6d166", 8777),
+        ("b0a60aaffc83b2bdcebe90ae6d33365e374a9bf69e8c2e80c0e8c51256d4fc93", 9753),
+        ("b3b9336d65edf5556d0a2b4e3ad60eb60e7ee0e240d342b7ce6dece24ebd4678", 9752),
+        ("cde7bc24bdbd45dc163ffe3310ac18828bc61ca29d7022e5423fc27c782c807a", 8778),
+        ("f7f06cb4224881ac9986dc0a56633e3467a943381de5ff100c8c78ea89cc746f", 8708),
+    ),
+    "GPL-2.0": (
+        ("1551b61aa183f987ecceedd8966ec1e9b2da3848f8862c2adedc0d82f41904ca", 14484),
+        ("331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6", 17118),
+        ("3d6c536f38203f43d4f882a96f62d08ef68247a99702d48f1c232a3250b408c1", 14437),
+        ("6a4c1793053c857132d6ee663db7a0978f0e41de21b44c2dc6020c39d6c38bbb", 14409),
+        ("c67cc53030ae25fe2e2f0143b59060eca5ad89da8d2beca1445641234d29fc88", 14456),
+        ("e96e14de9c3b9dd8fb9b9c693f78237578ae05d8105b2ec72bbc79daaac48990", 17071),
+    ),
+    "GPL-3.0": (
+        ("04a10e711844fe517f9ffba9481db6a825f2f268002c49184ecb8c942911bff3", 33356),
+        ("092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191", 30940),
+        ("4868f466a3292b095d887ce2ca00548d3969efb48c33f6aced9a20c59f578c19", 30918),
+        ("a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", 33409),
+        ("ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", 30968),
+        ("c50bb15c5f5e96b27d60ee792a7db1637c2e416eb98869999aab5af68506cd64", 33359),
+        ("ce818a0d5cb7a9a9261f63641713dbb4ca4750284738a6c3f546d86d81a541d2", 30890),
+        ("eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", 33406),
+    ),
+    "LGPL-2.1": (
+        ("127c98b05c4e2851a27843fcf90984e5592c3841d8a6b7638dbcd00bcefe46dd", 23277),
+        ("48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", 23365),
+        ("4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 25217),
+        ("98d365a8217633113a201b5777e4d26ae0eb1d88079c5e39838162abe1f18db4", 23305),
+        ("bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df", 23337),
+        ("e94f6c31379c2076fae91e236d6000ea55d918637fc8f30749aa0fe22a265c7f", 25157),
+    ),
+    "LGPL-3.0": (
+        ("13980739d6423be0921994d8ce3ce547437735b0e6733161f70b19c962f194b7", 7047),
+        ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ),
+    "MPL-2.0": (
+        ("3dacd2c104719e7227969cbdcc7d581518827199e830b9379627eec0a32f8ab7", 14272),
+        ("95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9", 14271),
+        ("c7625b8590f2bd72af25ea48c9d735f0b781eb75cc74e8419c28c89cb57a87fb", 14237),
+        ("e07dcdcc3b2c19db7e604dfb1498cc5dafa0e9cecf6ffc44f7c2b093fe9bafc2", 14236),
+    ),
+    "CC0-1.0": (
+        ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+        ("e3ba2aff64372f535373996fe68b166f9e97dc1ead5b471981213ebb8f310ad6", 6646),
+    ),
+}
+
 #: One-line notices, by the SPDX ids they name.
 NOTICES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"),
@@ -86,7 +159,8 @@ NOTICES = {
 TO_WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
 #: Quotes, dashes, section marks and no-break spaces outside ASCII.
 OTHER_MARKS = re.compile("|".join(re.escape(chr(c)) for c in (0xA0, 0xA7, 0xAB, 0xB7, 0xBB, *range(0x2010, 0x2016), *range(0x2018, 0x2020), 0x2022, 0x2026, 0x2039, 0x203A, 0x3000)).encode())
-COPYRIGHT_LINE = re.compile(rb"[\s#*/;.-]*(?:copyright\b|\(c\)|\xc2\xa9|all rights reserved)", re.I)
+#: A line that begins so names an owner; a wrapped line of a licence may begin with "copyright notice".
+COPYRIGHT_LINE = re.compile(rb"[\s#*/;.-]*(?:copyright\b(?!\s+(?:notices?|licen[cs]es?|holders?|owners?|laws?|and|or|interests?|permissions?|statements?|treaty|is|in|to|on|as|for|the|this|that|may|shall|control)\b)|\(c\)|\xc2\xa9|all rights reserved)", re.I)
 _equivalent = {a.encode(): b.encode() for a, b in EQUIVALENT.items()}
 
 
@@ -107,10 +181,21 @@ def digest(text: bytes | None) -> str | None:
     return hashlib.sha256(words).hexdigest() if words else None
 
 
+def forms(license_id: str) -> list[str]:
+    """An entire licence without and with its titles, with and without numbers or
+    other marks of its list, and in two common wordings."""
+    text = LICENSES[license_id]
+    bodies = {text, re.sub(r"(?m)^\d\. ", "", text)}
+    bodies |= {b.replace("modify, and/or distribute", "modify, and distribute") for b in bodies}
+    bodies |= {b.replace("SHALL THE COPYRIGHT HOLDER OR", "SHALL THE COPYRIGHT OWNER OR") for b in bodies}
+    return sorted({f"{title}\n\n{b}" for b in bodies for title in ("", *TITLES.get(license_id, ()))})
+
+
 def known_licenses() -> list[tuple[str, str, str, int]]:
     """(digest, licence, kind, canonical length) of the built-in table."""
-    rows = [(i, "text", t) for i, t in LICENSES.items()] + [(i, "notice", t) for i, ts in NOTICES.items() for t in ts]
-    return [(digest(t.encode()), i, kind, len(canonical(t.encode()))) for i, kind, t in rows]
+    rows = [(i, "text", t) for i in LICENSES for t in forms(i)] + [(i, "notice", t) for i, ts in NOTICES.items() for t in ts]
+    short = [(digest(t.encode()), i, kind, len(canonical(t.encode()))) for i, kind, t in rows]
+    return short + [(d, i, "text", size) for i, ds in LONG_TEXTS.items() for d, size in ds]
 
 
 def license_table(spark: SparkSession, known: Iterable[tuple[str, str, str, int]] | None = None) -> DataFrame:

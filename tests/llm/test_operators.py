@@ -1,8 +1,10 @@
 """Each operator against brute force or a round trip, and on odd tables."""
 
 import hashlib
+import os
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -288,6 +290,22 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs_of(spark, rows), licenses.license_table(spark, [])).where("license is not null or size(notices) > 0").count() == 0
 
 
+def test_whole_license_files(spark):
+    """Titles, wrapped lines and long licences."""
+    wrap = lambda t, n: "\n".join("\n".join(textwrap.wrap(x, n)) for x in t.split("\n"))
+    files = {i: f"{licenses.TITLES[i][0]}\n\nCopyright (c) 2020 Somebody\n\n" for i in licenses.TITLES}
+    rows = [(k, files[i] + wrap(licenses.LICENSES[i], n)) for k, (i, n) in enumerate((i, n) for i in files for n in (40, 70, 78))]
+    want = [i for i in files for _ in range(3)]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause"} <= {i for _, i, kind, _ in licenses.known_licenses() if kind == "text"}
+    if os.path.exists("/usr/share/common-licenses/Apache-2.0"):
+        known = {d: i for d, i, kind, _ in licenses.known_licenses() if kind == "text"}
+        for name, i in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+            with open(f"/usr/share/common-licenses/{name}", "rb") as f:
+                assert known[licenses.digest(f.read())] == i
+
+
 # 6
 
 
