@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Labelled documents that a classifier is fitted on at most, the same number of
 #: each class if there are so many; they're chosen by a hash of the id.
 SAMPLE_DOCS = 3000
-#: Bytes of a sampled document that training reads: a stretch at a hashed place.
+#: Characters of a sampled document that training reads: a stretch at a hashed place.
 #: Scoring reads whole texts.
 SAMPLE_BYTES = 6000
 

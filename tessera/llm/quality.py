@@ -67,7 +67,8 @@ def features(machine, text: bytes) -> tuple[float, float, float]:
 
 
 def segments(texts: list[bytes]) -> list[bytes]:
-    return [t[i : i + SEGMENT] for t in texts for i in (range(0, min(len(t), 4 * SEGMENT), SEGMENT))]
+    """The whole of the sampled stretches, in pieces."""
+    return [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
 
 
 def dictionary(texts: list[bytes]) -> bytes:

@@ -27,6 +27,9 @@ WINDOW = 128
 OVERLAP = 16
 #: Chance that any word beginning is taken for a mark that isn't one (Bonferroni).
 MARK_ERROR = 1e-4
+#: The ordinary text in both dictionaries: beginnings of so many bytes, of so many texts, at most so many bytes.
+BASE_STRETCH = 400
+BASE_TEXTS = 160
 BASE_BYTES = 24_000
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 PARAMS = {"window_log": 16, "hash_log": 15, "chain_log": 15, "search_log": 3, "min_match": 5, "target_length": 64, "strategy": zstandard.STRATEGY_GREEDY}
@@ -126,7 +129,7 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> ToxicModel:
         return ToxicModel(None, None, 3, None, (len(toxic) + 1) / (n + 2))
 
     def made(t, o):
-        base = b" ".join(normal(x[:400]) for x in o[:160])[:BASE_BYTES]
+        base = b" ".join(normal(x[:BASE_STRETCH]) for x in o[:BASE_TEXTS])[:BASE_BYTES]
         return base + b" " + b"".join(g + b"." for g in reversed(marks(t, o))), base
 
     model = ToxicModel(*made(toxic[::2], ordinary[::2]), 3, None, 0.0)

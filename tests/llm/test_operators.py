@@ -393,6 +393,11 @@ def test_marks_have_neither_cap_nor_share_of_the_strongest():
     assert not any(w.encode() in got for w in words)
 
 
+def test_quality_dictionary_reads_whole_samples():
+    texts = [bytes(random.Random(k).randbytes(6000)) for k in range(3)]
+    assert b"".join(quality.segments(texts)) == b"".join(texts)
+
+
 # 8
 
 
