@@ -31,16 +31,43 @@ def list_access(spark, sf_dir):
     "part": "a[2:3]", "joined": "list_concat(a, b)", "sorted": "list_sort(a)", "filled": "[2.5, 2.5, 2.5, 2.5]", "plus": "list_transform(a, lambda x: x + 1.5)", "times": "list_transform(a, lambda x: x * 3)", "plus_at": "[a[1], a[2] + 2, a[3], a[4]]", "times_at": "[a[1], a[2] * 2, a[3], a[4]]",
 }.items()) + " FROM w")
 def list_edits(spark, sf_dir):
-    w = vectors(spark, sf_dir).select("vec_id", F.slice(F.col("a"), 1, 4).alias("a"), F.slice(F.col("b"), 1, 3).alias("b"))
+    return _edits(_cut(spark, sf_dir, 4))
+
+
+@query()
+def list_edits_all(spark, sf_dir):
+    """list_edits of whole embeddings; the tests compare with Python lists."""
+    return _edits(_cut(spark, sf_dir))
+
+
+def _cut(spark, sf_dir, size: int | None = None):
+    """a (its first size entries if size is given) and the first 3 of b."""
+    a = F.col("a") if size is None else F.slice(F.col("a"), 1, size)
+    return vectors(spark, sf_dir).select("vec_id", a.alias("a"), F.slice(F.col("b"), 1, 3).alias("b"))
+
+
+def _edits(w):
     made = {"set_2": arrays.set_at(F.col("a"), 2, 9.5), "appended": arrays.append(F.col("a"), 1.5), "inserted": arrays.insert_at(F.col("a"), 1, 7.5), "inserted_all": arrays.insert_all(F.col("a"), 1, F.col("b")), "removed": arrays.remove_at(F.col("a"), 1), "removed_value": arrays.remove_value(F.col("a"), F.get(F.col("a"), F.lit(0))), "part": arrays.sub_list(F.col("a"), 1, 3), "joined": arrays.add_all(F.col("a"), F.col("b")), "sorted": arrays.sort(F.col("a")), "filled": arrays.fill(F.col("a"), 2.5), "plus": arrays.plus(F.col("a"), 1.5), "times": arrays.times(F.col("a"), 3), "plus_at": arrays.plus_at(F.col("a"), 1, 2), "times_at": arrays.times_at(F.col("a"), 1, 2)}
     return w.select("vec_id", *[round_list(c).alias(n) for n, c in made.items()])
 
 
 @query(V + ", w AS (SELECT vec_id, a[1:4] AS a, b[1:3] AS b FROM v) SELECT vec_id, " + ", ".join(f"{sql_list(f'list_transform([1, 2, 3], lambda i: a[i] {o} b[i])')} AS {n}" for n, o in (("added", "+"), ("subtracted", "-"), ("multiplied", "*"))) + f", {sql_list('list_transform([1, 2, 3], lambda i: a[i] + 0.5 * b[i])')} AS axpy, {sql_list('[a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]]')} AS crossed, CAST(len(list_filter(a, lambda x: list_contains(b, x))) AS INT) AS retained, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS INT) AS removed, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS all_in, false AS near, true AS near_self, true AS same FROM w")
 def list_pairs(spark, sf_dir):
-    w = vectors(spark, sf_dir).select("vec_id", F.slice(F.col("a"), 1, 4).alias("a"), F.slice(F.col("b"), 1, 3).alias("b"))
-    a3 = F.slice(F.col("a"), 1, 3)
-    return w.select("vec_id", round_list(arrays.plus_paired(F.col("a"), F.col("b"))).alias("added"), round_list(arrays.minus_paired(F.col("a"), F.col("b"))).alias("subtracted"), round_list(arrays.times_paired(F.col("a"), F.col("b"))).alias("multiplied"), round_list(arrays.add_scaled(a3, F.col("b"), 0.5)).alias("axpy"), round_list(arrays.cross(a3, F.col("b"))).alias("crossed"), F.size(arrays.retain_all(F.col("a"), F.col("b"))).alias("retained"), F.size(arrays.remove_all(F.col("a"), F.col("b"))).alias("removed"), arrays.contains_all(F.col("a"), F.col("b")).alias("all_in"), arrays.approx_equal(F.col("a"), F.col("b")).alias("near"), arrays.approx_equal(F.col("a"), arrays.times(F.col("a"), 1 + 1e-10)).alias("near_self"), arrays.equal(F.col("a"), F.col("a")).alias("same"))
+    w = _cut(spark, sf_dir, 4)
+    return _pairs(w, F.slice(F.col("a"), 1, 3))
+
+
+@query()
+def list_pairs_all(spark, sf_dir):
+    """list_pairs of whole embeddings with all but the last entry of their reverse."""
+    w = vectors(spark, sf_dir).withColumn("b", F.slice(F.col("b"), 1, 63))
+    return _pairs(w, F.slice(F.col("a"), 1, 63))
+
+
+def _pairs(w, same):
+    """same: a as long as b; a cross product has three entries."""
+    a3, b3 = F.slice(F.col("a"), 1, 3), F.slice(F.col("b"), 1, 3)
+    return w.select("vec_id", round_list(arrays.plus_paired(F.col("a"), F.col("b"))).alias("added"), round_list(arrays.minus_paired(F.col("a"), F.col("b"))).alias("subtracted"), round_list(arrays.times_paired(F.col("a"), F.col("b"))).alias("multiplied"), round_list(arrays.add_scaled(same, F.col("b"), 0.5)).alias("axpy"), round_list(arrays.cross(a3, b3)).alias("crossed"), F.size(arrays.retain_all(F.col("a"), F.col("b"))).alias("retained"), F.size(arrays.remove_all(F.col("a"), F.col("b"))).alias("removed"), arrays.contains_all(F.col("a"), F.col("b")).alias("all_in"), arrays.approx_equal(F.col("a"), F.col("b")).alias("near"), arrays.approx_equal(F.col("a"), arrays.times(F.col("a"), 1 + 1e-10)).alias("near_self"), arrays.equal(F.col("a"), F.col("a")).alias("same"))
 
 
 @query("""SELECT event_id, CASE WHEN isnan(x) THEN 0.5 WHEN x = 'inf' THEN 1e9 WHEN x = '-inf' THEN -1e9 ELSE round(x, 6) END AS x FROM (
@@ -158,7 +185,16 @@ def linspace(spark, sf_dir):
 
 @query(V + ", w AS (SELECT vec_id, a[1:4] AS a FROM v), i AS (SELECT vec_id, unnest(a) AS y, generate_subscripts(a, 1) - 1 AS p FROM w) SELECT vec_id, CAST(p - 2 AS DOUBLE) AS whole, p - 1.5::DOUBLE AS half, round(y, 6) AS y FROM i")
 def centered_axes(spark, sf_dir):
-    w = vectors(spark, sf_dir).select("vec_id", F.slice(F.col("a"), 1, 4).alias("a"))
+    return _axes(_cut(spark, sf_dir, 4))
+
+
+@query()
+def centered_axes_all(spark, sf_dir):
+    """centered_axes of whole embeddings."""
+    return _axes(_cut(spark, sf_dir))
+
+
+def _axes(w):
     z = F.arrays_zip(grids.centered_int_indexed(F.col("a")).alias("i"), grids.centered_double_indexed(F.col("a")).alias("d"))
     return w.select("vec_id", F.explode(z).alias("z")).select("vec_id", F.col("z.i.x").alias("whole"), F.col("z.d.x").alias("half"), rounded(F.col("z.i.y")).alias("y"))
 

@@ -344,3 +344,36 @@ def test_bootstrap_of_too_large_a_segment(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(resample, "SAMPLE_MOST", 10)
     with pytest.raises(ValueError, match="poisson_bootstrap"):
         catalogue.QUERIES["bootstrap_mean"](spark, sf_dir)
+
+
+def test_whole_lists(spark, sf_dir):
+    """The _all queries work on all 64 entries."""
+    from tessera import catalogue
+
+    rows = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    numbers = lambda t: [float(x) for x in t.split(",")]
+    near = lambda t, want: len(numbers(t)) == len(want) and np.allclose(numbers(t), want, atol=1e-6)
+    got = catalogue.QUERIES["list_edits_all"](spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        a = rows[r.vec_id]
+        b = a[::-1][:3]
+        want = {
+            "set_2": [*a[:2], 9.5, *a[3:]], "appended": [*a, 1.5], "inserted": [a[0], 7.5, *a[1:]], "inserted_all": [a[0], *b, *a[1:]], "removed": [a[0], *a[2:]], "removed_value": a[1:],
+            "part": a[1:3], "joined": a + b, "sorted": sorted(a), "filled": [2.5] * 64, "plus": [x + 1.5 for x in a], "times": [3 * x for x in a], "plus_at": [a[0], a[1] + 2, *a[2:]], "times_at": [a[0], a[1] * 2, *a[2:]],
+        }
+        for name, w in want.items():
+            assert near(r[name], w), name
+    got = catalogue.QUERIES["list_pairs_all"](spark, sf_dir).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        a = rows[r.vec_id]
+        b = a[::-1][:63]
+        z = list(zip(a, b))
+        assert near(r.added, [x + y for x, y in z]) and near(r.subtracted, [x - y for x, y in z]) and near(r.multiplied, [x * y for x, y in z]) and near(r.axpy, [x + 0.5 * y for x, y in z])
+        assert near(r.crossed, np.cross(a[:3], b[:3])) and r.retained == sum(x in b for x in a) and r.removed == sum(x not in b for x in a) and r.all_in and not r.near and r.near_self and r.same
+    d = catalogue.QUERIES["centered_axes_all"](spark, sf_dir).toPandas()
+    assert len(d) == 64 * len(rows)
+    for i, g in d.groupby("vec_id"):
+        g = g.sort_values("whole")
+        assert list(g.whole) == [k - 32 for k in range(64)] and list(g.half) == [k - 31.5 for k in range(64)] and np.allclose(g.y, rows[i], atol=1e-6)
