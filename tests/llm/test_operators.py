@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import arrow, decontam, html, licenses, lines, mixing, quality, rules, simjoin, tokens, toxicity, wrappers
+from tessera.llm import arrow, decontam, html, keybits, licenses, lines, mixing, quality, rules, simjoin, tokens, toxicity, wrappers
 from tessera.llm.components import connected_components
 from pyspark.sql import functions as F
 
@@ -362,14 +362,49 @@ def test_jaccard_join_on_odd_tables(spark):
 
 
 def test_bounds_lose_no_pair():
-    """The cell bound never exceeds the symmetric difference."""
+    """The parity bound never exceeds the symmetric difference, and is of use."""
     g = np.random.default_rng(0)
+    like = simjoin.Similarity(80, 100)
     sets = [np.unique(g.integers(0, 2**63, n).astype(np.uint64)) for n in (5, 40, 41, 200, 1500)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.95)], g.integers(0, 2**63, 3).astype(np.uint64)])) for s in sets]
-    cells = [simjoin.cells_of(s) for s in sets]
-    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(len(sets)) for b in range(a)], strict=True))
-    truth = [len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in zip(i, j, strict=True)]
-    assert (simjoin.apart(cells, i, j) <= truth).all()
+    bits = [simjoin.parity(s, like) for s in sets]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    truth = np.array([len(set(sets[a].tolist()) ^ set(sets[b].tolist())) for a, b in pairs])
+    found = simjoin.differences([bits[a] for a, _ in pairs], [bits[b] for _, b in pairs])
+    assert (found <= truth).all()
+    assert simjoin.differences([simjoin.parity(g.integers(0, 2**63, 500).astype(np.uint64), like)], [simjoin.parity(g.integers(0, 2**63, 500).astype(np.uint64), like)])[0] > like.apart(1000)
+
+
+def test_packed_numbers_come_back():
+    g = np.random.default_rng(0)
+    x, y = np.sort(g.integers(0, 2**63, 1000).astype(np.uint64)), g.integers(-5, 5, (1000, 3)).astype(np.int32)
+    assert (simjoin.unpacked(simjoin.packed(x), np.uint64) == x).all()
+    assert (simjoin.unpacked(simjoin.packed(y), np.int32, 3).reshape(-1, 3) == y).all()
+
+
+def test_key_table_never_misses(spark):
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63, 2000)
+    table = keybits.key_table(spark.createDataFrame([(int(k),) for k in keys], "h long"), "h")
+    assert keybits.maybe(table, keys).all()
+    assert keybits.maybe(table, keys + 1).sum() < 5
+
+
+def test_jaccard_join_ties_one_ids_texts(spark):
+    """Rows that share an id are one document; a null id ties nothing."""
+    a, b = "one two three four five six seven", "uno dos tres cuatro cinco seis siete"
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, "x y z w v u"), (None, "p q r s t u v"), (12, "p q r s t u v")]
+    got = simjoin.similar_documents(docs_of(spark, rows), 3, 90, 100).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(1, 1), (5, 1), (5, 1), (9, 1), (None, None), (None, None), (12, None)], key=str)
+
+
+def test_keep_one_loses_no_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(7, a), (7, b), (8, a), (None, c), (None, b + " more"), (9, c), (3, None), (3, None), (4, ""), (11, "lone words here"), (11, "lone words here")]
+    docs = docs_of(spark, rows).withColumn("key", F.lit("clash")).withColumn("perhaps", F.lit(1))
+    got = simjoin.keep_one(docs, 5, 80, 100)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(7, a), (None, c), (None, b + " more"), (3, None), (4, ""), (11, "lone words here")], key=str)
+    assert simjoin.keep_one(empty(spark)).count() == 0
 
 
 def test_components(spark):
