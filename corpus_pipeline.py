@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, lines, mixing, quality, simjoin
 from tessera.llm.queries import MIX, domain, table
-from tessera.llm.storage import remove_tables, tables_now, written
+from tessera.llm.storage import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,16 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at 0.8, the smallest id stays."""
+    """Of documents that five-word shingles link at 0.8, the smallest id stays.
+
+    Rows are told apart by id and text: rows with one id or without one go only if
+    another row's text stands for theirs, and rows alike in both are one document.
+    """
     table(spark, sf_dir, "documents")
-    before = tables_now()
-    found = simjoin.similar_documents(docs, 5, 80, 100).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    found = written(found)
-    remove_tables(before, keep=[found])
-    stay = found.distinct()
-    kept = docs.select(*COLUMNS).join(stay.withColumnRenamed("doc_id", "__stay"), F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return simjoin.keep_one(docs.select(*COLUMNS), 5, 80, 100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
