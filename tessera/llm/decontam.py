@@ -10,8 +10,9 @@ hides a match: each window's 4-grams are in the table.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import LOWER, map_text, without
-from .storage import checkpoint_dir
+from .arrow import LOWER, as_bytes, map_text, small_batches, without
+from .storage import checkpoint_dir, written
 
 #: Bytes of benchmark text in one automaton; a larger benchmark has several.
 BLOCK_BYTES = 1 << 20
@@ -222,23 +223,32 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def automata(benchmark: DataFrame, window: int, text_col: str, id_col: str, block_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of at most block_bytes of text (one item at least).
+def automata(benchmark: DataFrame, window: int, text_col: str, id_col: str, block_bytes: int) -> DataFrame:
+    """block and machine: the automata of the items, pickled, of about block_bytes of text
+    each (a block has at least one item). Tasks make them; the items are dealt by a hash
+    of id and text, and repeated items fall together."""
+    items = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    blocks = -(-size // block_bytes) or 1
 
-    The benchmark streams through the driver a partition at a time, so what is
-    in memory is one partition and the blocks' words.
-    """
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator()
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
-    size = 0
-    for item, text in rows:
-        raw = text.encode()
-        if size + len(raw) > block_bytes and blocks[-1]:
-            blocks.append([])
-            size = 0
-        size += len(raw)
-        blocks[-1].append((item, words_of(raw)))
-    return blocks
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pickle.dumps(Automaton(held, window))], pa.binary())], names=["block", "machine"])
+
+        for b in batches:
+            for at, item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
+                if at != block:
+                    if held:
+                        yield made()
+                    block, held = at, []
+                held.append((item, words_of(text)))
+        if held:
+            yield made()
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks).cast("long")))
+    return written(small_batches(dealt.repartition("block").sortWithinPartitions("block", "item").select("block", "item", "text")).mapInArrow(run, "block long, machine binary"))
 
 
 def decontaminate(
@@ -249,6 +259,7 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     max_span: int = 0,
+    max_coverage: float = 1.0,
     block_bytes: int = BLOCK_BYTES,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -256,25 +267,29 @@ def decontaminate(
 
     A window is `window` consecutive words of an item, or all words of a shorter
     item. spans are the merged ranges [begin, end) of words inside occurrences;
-    clean_text lacks the spans of more than max_span words (null stays null).
+    clean_text lacks the spans of more than max_span words and, if all spans together
+    cover more than max_coverage of the document's words, every span (null stays null).
     Null and empty texts have no words. Null item ids are called "null"; repeated
     items count once. An empty benchmark hits nothing. Documents aren't shuffled.
     """
     spark = docs.sparkSession
-    blocks = automata(benchmark, window, item_text_col, item_col, block_bytes)
-    passes = [blocks[i : i + PASS_BLOCKS] for i in range(0, len(blocks), PASS_BLOCKS)]
+    made = automata(benchmark, window, item_text_col, item_col, block_bytes)
+    numbers = sorted(r.block for r in made.select("block").collect())
+    passes = [numbers[i : i + PASS_BLOCKS] for i in range(0, len(numbers), PASS_BLOCKS)] or [[]]
     before: list[str] = []
     carried = list(dict.fromkeys([*(keep or docs.columns), text_col]))
     for k, held in enumerate(passes):
-        shared = [spark.sparkContext.broadcast(Automaton(items, window)) for items in held]
+        shared = [spark.sparkContext.broadcast(bytes(r.machine)) for r in made.where(F.col("block").isin(held)).orderBy("block").toLocalIterator()]
         if k + 1 < len(passes):
             names = [f"__spans{k}", f"__items{k}"]
             fields = list(zip(names, (SPANS, ITEMS), strict=True))
             checkpoint_dir(spark)
             docs = map_text(docs, _scanner(shared), fields, text_col, [*carried, *before]).checkpoint()
+            for s in shared:
+                s.destroy()
             before += names
     fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", ITEMS), ("spans", SPANS), ("clean_text", T.StringType())]
-    return map_text(docs, _finisher(shared, max_span), fields, text_col, keep or without(docs, [*(n for n, _ in fields), *before]), before)
+    return map_text(docs, _finisher(shared, max_span, max_coverage), fields, text_col, keep or without(docs, [*(n for n, _ in fields), *before]), before)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
@@ -294,7 +309,7 @@ def _scan_all(machines: list[Automaton], words: list[bytes]) -> tuple[list[tuple
 
 def _scanner(shared):
     def make():
-        machines = [s.value for s in shared]
+        machines = [pickle.loads(s.value) for s in shared]
 
         def each(texts):
             got = [_scan_all(machines, words_of(t) if t else []) for t in texts]
@@ -305,9 +320,9 @@ def _scanner(shared):
     return make
 
 
-def _finisher(shared, max_span):
+def _finisher(shared, max_span, max_coverage):
     def make():
-        machines = [s.value for s in shared]
+        machines = [pickle.loads(s.value) for s in shared]
 
         def each(texts, *before):
             cols: list[list] = [[], [], [], [], []]
@@ -318,9 +333,10 @@ def _finisher(shared, max_span):
                     spans = spans + [(s["begin"], s["end"]) for s in before[k][row]]
                     items |= set(before[k + 1][row])
                 spans = merged(spans)
-                drop = [s for s in spans if s[1] - s[0] > max_span]
+                hit = sum(b - a for a, b in spans)
+                drop = [s for s in spans if s[1] - s[0] > max_span or hit > max_coverage * len(words)]
                 clean = cut_spans(t, drop) if drop else t
-                for c, v in zip(cols, (len(words), sum(b - a for a, b in spans), sorted(items), [{"begin": a, "end": b} for a, b in spans], clean), strict=True):
+                for c, v in zip(cols, (len(words), hit, sorted(items), [{"begin": a, "end": b} for a, b in spans], clean), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), ARROW_SPANS, pa.binary())
             out = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
@@ -344,24 +360,3 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def items_digest(items) -> F.Column:
     return F.sha2(F.array_join(items, ","), 256)
-
-
-def reference_scan(texts: list[bytes | None], items: list[tuple[str, bytes | None]], window: int) -> list[tuple[int, int, str]]:
-    """What decontaminate() has to find, by comparing all places: for tests."""
-    want: dict[tuple, set[str]] = {}
-    for item, t in items:
-        w = words_of(t or b"")
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            want.setdefault(tuple(w[i : i + window]), set()).add(item)
-    sizes = {len(k) for k in want}
-    out = []
-    for t in texts:
-        w = words_of(t or b"")
-        hit, found = set(), set()
-        for n in sizes:
-            for i in range(len(w) - n + 1):
-                if (names := want.get(tuple(w[i : i + n]))) is not None:
-                    hit.update(range(i, i + n))
-                    found |= names
-        out.append((len(w), len(hit), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
-    return out

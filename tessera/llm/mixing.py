@@ -22,20 +22,26 @@ from .storage import written
 LEVELS = ("domain", "lang", "source")
 #: Leaves up to which their table is broadcast; beyond, Spark joins by shuffle.
 BROADCAST_LEAVES = 100_000
-#: Hex digits of an order's hash that number the buckets of a leaf.
+#: Hex digits of an order's hash that number the buckets of a leaf, and the parts of its
+#: cut bucket, and so on: LEVELS_DOWN times.
 BUCKET_DIGITS = 3
+LEVELS_DOWN = 3
 
 
 @dataclass(frozen=True)
 class Mix:
-    """weights: for each level the names' integer weights; others weigh 1.
-    The budget is share[0]/share[1] of all tokens."""
+    """weights: for each level the names' integer weights; others weigh 1 and those of
+    weight 0 give nothing. The budget is share[0]/share[1] of all tokens."""
 
     weights: dict[str, dict[str, int]] = field(default_factory=dict)
     share: tuple[int, int] = (1, 2)
     max_epochs: int = 4
     seed: int = 42
 
+    def __post_init__(self):
+        if any(w < 0 for names in self.weights.values() for w in names.values()):
+            raise ValueError("a weight is a whole number of at least 0")
+
 
 def word_count(text: Column) -> Column:
     """Words parted by ASCII white space; 0 for null."""
@@ -78,7 +84,10 @@ def share_out(nodes: DataFrame, parent: list[str], level: str, mix: Mix) -> Data
 def budgets(docs: DataFrame, mix: Mix, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """The leaves: levels, available tokens and budget. docs has levels and n_tokens."""
     leaves = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("available"))
-    tree = leaves
+    out_of_mix = F.lit(False)
+    for level in levels:
+        out_of_mix = out_of_mix | (weight(level, mix) == 0)
+    tree = leaves.where(~out_of_mix)  # a node's capacity is what its weights let it give
     root = leaves.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("all"))
     held = root.select((F.expr(f"all * {mix.share[0]} div {mix.share[1]}")).alias("budget"))
     for depth, level in enumerate(levels):
@@ -101,8 +110,9 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, tokens: Column | None
     sort hashes go by id; a null id sorts as "". Repeated rows count each. If the
     budget is more than max_epochs of everything, all of that is taken.
 
-    The one large aggregation is by leaf with partial sums; a leaf's order is cut by
-    hash buckets, so that only one bucket of a leaf is ever sorted by one task.
+    The one large aggregation is by leaf with partial sums. A leaf's order is cut by
+    hash buckets, the bucket that holds the cut by finer ones and so on, so that one task
+    sorts a part of a leaf in 16^(digits * LEVELS_DOWN).
     """
     size = word_count(F.col(text_col).cast("string")) if tokens is None else tokens.cast("long")
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
@@ -112,15 +122,20 @@ def mix_sources(docs: DataFrame, mix: Mix, domain: Column, tokens: Column | None
     held = lambda d: F.broadcast(d) if small else d
     path = list(LEVELS)
     order = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), *path, F.col("epochs").cast("string"), name(F.col("doc_id"))))
-    placed = slim.where(F.col("n_tokens") > 0).join(held(leaves.select(*path, "epochs", "remainder")), path).withColumn("order", order).withColumn("bucket", F.substring("order", 1, digits))
-    sums = placed.where(F.col("remainder") > 0).groupBy(*path, "remainder", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
-    upto = Window.partitionBy(*path).orderBy("bucket")
-    cut = (
-        sums.withColumn("before", F.sum("in_bucket").over(upto) - F.col("in_bucket"))
-        .where((F.col("before") < F.col("remainder")) & (F.col("before") + F.col("in_bucket") >= F.col("remainder")))
-        .select(*path, F.col("bucket").alias("cut"), "before")
-    )
-    known = placed.join(held(cut), path, "left")
+    placed = slim.where(F.col("n_tokens") > 0).join(held(leaves.select(*path, "epochs", "remainder")), path).withColumn("order", order)
+    partial = placed.where(F.col("remainder") > 0)
+    cut = leaves.where(F.col("remainder") > 0).select(*path, "remainder", F.lit("").alias("cut"), F.lit(0).cast("long").alias("before"))
+    for depth in range(1, LEVELS_DOWN + 1):
+        bucket = F.substring("order", 1, digits * depth)
+        upto = Window.partitionBy(*path).orderBy("bucket")
+        inside = partial.join(held(cut.drop("remainder")), path).where(F.substring("order", 1, digits * (depth - 1)) == F.col("cut"))
+        sums = inside.groupBy(*path, "remainder", "before", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("in_bucket"))
+        cut = written(
+            sums.withColumn("before", F.col("before") + F.sum("in_bucket").over(upto) - F.col("in_bucket"))
+            .where((F.col("before") < F.col("remainder")) & (F.col("before") + F.col("in_bucket") >= F.col("remainder")))
+            .select(*path, "remainder", F.col("bucket").alias("cut"), "before")
+        )
+    known = placed.join(held(cut.drop("remainder")), path, "left").withColumn("bucket", bucket)
     inside = F.col("bucket") == F.col("cut")
     within = Window.partitionBy(*path).orderBy("order", name(F.col("doc_id")), "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = known.where(inside).withColumn("upto", F.sum("n_tokens").over(within))

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's; a folder in /tmp only if neither is set."""
+    """spark.checkpoint.dir, or the context's. If neither is set, a local session gets a
+    temporary folder; on a cluster that is an error, since executors don't share one."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else "/tmp/tessera-checkpoints")
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"{tempfile.gettempdir()}/tessera-checkpoints"
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path

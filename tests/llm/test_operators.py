@@ -13,6 +13,7 @@ import pytest
 
 from tessera.llm import arrow, decontam, html, keybits, licenses, lines, mixing, quality, rules, simjoin, tokens, toxicity, wrappers
 from tessera.llm.components import connected_components
+from tests.llm.scans import reference_scan
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -407,6 +408,28 @@ def test_keep_one_loses_no_text(spark):
     assert simjoin.keep_one(empty(spark)).count() == 0
 
 
+def test_mixing_leaves_out_weight_zero(spark):
+    """Nothing of weight 0 is taken, and what it can't give goes to others at every level."""
+    rows = [(i, "a b c d", "en" if i % 2 else "de", f"src{i % 3}", 7) for i in range(60)]
+    d = spark.createDataFrame(rows, DOC).withColumn("dom", F.when(F.col("doc_id") < 30, "a").otherwise("b"))
+    mix = mixing.Mix({"domain": {"a": 1, "b": 1}, "lang": {"de": 0}, "source": {"src1": 0}}, (1, 2), 2, 3)
+    got = mixing.mix_sources(d, mix, F.col("dom")).collect()
+    assert {(r.lang, r.source) for r in got} == {("en", "src0"), ("en", "src2")}
+    assert sum(r.taken_tokens for r in got) == 120
+    with pytest.raises(ValueError, match="weight"):
+        mixing.Mix({"lang": {"en": -1}})
+
+
+def test_coverage_limit(spark):
+    item = " ".join(f"b{i}" for i in range(12))
+    docs = docs_of(spark, [(1, f"{item} x y z"), (2, item + " " + " ".join(f"o{i}" for i in range(40)))])
+    bench = spark.createDataFrame([(1, item)], BENCH)
+    clean = lambda **k: {r.doc_id: r.clean_text.split() for r in decontam.decontaminate(docs, bench, 10, **k).collect()}
+    assert {i: len(w) for i, w in clean(max_span=20).items()} == {1: 15, 2: 52}
+    assert {i: len(w) for i, w in clean(max_span=20, max_coverage=0.5).items()} == {1: 3, 2: 52}
+    assert {i: len(w) for i, w in clean().items()} == {1: 3, 2: 40}
+
+
 def test_components(spark):
     g = random.Random(0)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (200, 150), (150, 200)] + [(300, 300 + g.randrange(1, 50)) for _ in range(60)]
@@ -449,7 +472,7 @@ def test_decontamination(spark):
             if block == 60 and size == 1:
                 continue
             got = decontam.decontaminate(docs_of(spark, rows).withColumn("items", F.lit(0)), bench, 10, block_bytes=block).select("doc_id", "n_words", "n_hit", decontam.items_digest(F.col("items")).alias("d")).collect()
-            want = decontam.reference_scan([t.encode() if t is not None else None for _, t in rows], named, 10)
+            want = reference_scan([t.encode() if t is not None else None for _, t in rows], named, 10)
             assert sorted((tuple(r) for r in got), key=str) == sorted(((i, *w) for (i, _), w in zip(rows, want, strict=True)), key=str)
     decontam.PASS_BLOCKS = 16
 

@@ -5,6 +5,7 @@ import hashlib
 import corpus_pipeline as pipeline
 from tessera.llm import decontam, quality
 from tessera.llm.queries import MIX
+from tests.llm.scans import reference_scan
 from tests.llm.test_operators import ODD, reference_components, reference_lines, reference_mix
 
 
@@ -42,10 +43,10 @@ def test_stages(spark, sf_dir, tmp_path):
     assert fourth.columns == pipeline.COLUMNS
     clean = sorted(fourth.collect())
     items = [(str(r.item_id), r.text.encode()) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    before = decontam.reference_scan([r.text.encode() for r in left], items, 10)
+    before = reference_scan([r.text.encode() for r in left], items, 10)
     assert [r.doc_id for r in clean] == [r.doc_id for r in left]
     assert all(len(decontam.words_of(c.text.encode())) == n - hit and (hit or c.text == r.text) for c, r, (n, hit, _) in zip(clean, left, before, strict=True))
-    assert all(not hit for _, hit, _ in decontam.reference_scan([r.text.encode() for r in clean], items, 10))
+    assert all(not hit for _, hit, _ in reference_scan([r.text.encode() for r in clean], items, 10))
 
     fifth = stage("mixing sources to target weights")(spark, fourth, sf_dir)
 
