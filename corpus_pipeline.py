@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, lines, mixing, quality, simjoin
 from tessera.llm.queries import MIX, domain, table
-from tessera.llm.storage import written
+from tessera.llm.storage import remove_tables, tables_now, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -65,7 +65,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote goes as soon as the next one's is written."""
     docs = table(spark, sf_dir, "documents")
+    before = tables_now()
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        remove_tables(before, keep=[docs])
     return docs
