@@ -38,8 +38,9 @@ NO_ID = -(1 << 63)
 SKETCH_BITS = 22
 #: A task reports buckets of at least TASK_COUNT; those of HOT_COUNT in all are hot.
 TASK_COUNT, HOT_COUNT = 8, 32
-#: Parity bits for each difference that a link may have, and the least number of them.
-PARITY, PARITY_LEAST = 3, 64
+#: Parity bits for each difference that a link may have: of all nodes, and of those that
+#: have a partner by these; and the least number of them.
+PARITY, PARITY_FINE, PARITY_LEAST = 3, 32, 64
 #: Postings of a block of whole lists, and of a task before it hands on its blocks.
 BLOCK_POSTINGS, HELD_POSTINGS = 500_000, 1_000_000
 #: Postings of one list that one task compares; longer lists are cut.
@@ -128,10 +129,10 @@ class Similarity:
         return both - 2 * self.least(both)
 
 
-def parity(h: np.ndarray, like: Similarity) -> bytes:
+def parity(h: np.ndarray, like: Similarity, each: int = PARITY) -> bytes:
     """For each of 2^m cells whether an odd number of hashes falls in it: two sets
     differ by at least as many hashes as cells differ."""
-    bits = max(PARITY_LEAST, 1 << (PARITY * int(like.apart(2 * len(h)))).bit_length())
+    bits = max(PARITY_LEAST, 1 << (each * int(like.apart(2 * len(h)))).bit_length())
     odd = np.bincount((h & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -326,6 +327,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, like: Similarity) -> Da
     return small_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")).mapInArrow(run, "a long, b long")
 
 
+def fine_parity(texts: DataFrame, k: int, like: Similarity) -> DataFrame:
+    """sid, n and finer parity bits of nodes, from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = zstandard.ZstdDecompressor()
+        for b in batches:
+            sets = [shingles(whole.decompress(x), k) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int32()), pa.array([parity(h, like, PARITY_FINE) for h in sets], pa.binary())], names=["sid", "n", "bits"])
+
+    return small_batches(texts.select("sid", "body")).mapInArrow(run, "sid long, n int, bits binary")
+
+
 def near_enough(pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
     """The pairs (a, b) of nodes that their sizes and parity bits don't exclude."""
     side = lambda a: nodes.select(F.col("sid").alias(a), F.col("n").alias(f"n{a}"), F.col("bits").alias(f"bits{a}"))
@@ -394,29 +407,51 @@ def near_pairs(unit: tuple, n: np.ndarray, pos: np.ndarray, c1: np.ndarray | Non
 UNIT = ["list", "block", "side", "gid", "n", "pos", "c1", "c2", "bits"]
 
 
+def open_pairs(t: pa.Table, like: Similarity) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs of units' entries that no bound excludes. Groups of
+    several members have no bits, and only sizes and positions bound them."""
+    unit = (t["list"].to_numpy(), t["block"].to_numpy())
+    n, pos, c1, c2, side = (t[c].to_numpy().astype(np.int64) for c in ("n", "pos", "c1", "c2", "side"))
+    bits = t["bits"].to_pylist()
+    for i, j in near_pairs(unit, n, pos, c1, c2, side, like):
+        for at in range(0, len(i), 20_000):
+            u, v = i[at : at + 20_000], j[at : at + 20_000]
+            keep = np.array([bits[x] is None or bits[y] is None for x, y in zip(u, v, strict=True)])
+            known = np.flatnonzero(~keep)
+            if len(known):
+                x, y = u[known], v[known]
+                keep[known] = differences([bits[r] for r in x], [bits[r] for r in y]) <= like.apart(n[x] + n[y])
+            yield u[keep], v[keep]
+
+
+def dealt(entries: DataFrame) -> DataFrame:
+    return wide(entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT))
+
+
+def with_partner(entries: DataFrame, like: Similarity) -> DataFrame:
+    """The entries (UNIT) that have a partner, without their bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(batches):
+            keep = np.zeros(t.num_rows, dtype=bool)
+            for i, j in open_pairs(t, like):
+                keep[i] = keep[j] = True
+            yield from t.select(UNIT[:-1]).filter(pa.array(keep)).to_batches(WIDE)
+
+    return dealt(entries).mapInArrow(run, entries.select(*UNIT[:-1]).schema)
+
+
 def group_pairs(entries: DataFrame, like: Similarity) -> DataFrame:
-    """entries (UNIT): pairs of groups (a, b) that no bound excludes. Groups of several
-    members have no bits, and only sizes and positions bound them."""
-    dealt = entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT)
+    """entries (UNIT): pairs of groups (a, b) that no bound excludes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(batches):
-            unit = (t["list"].to_numpy(), t["block"].to_numpy())
-            gid, n, pos, c1, c2, side = (t[c].to_numpy().astype(np.int64) for c in ("gid", "n", "pos", "c1", "c2", "side"))
-            bits = t["bits"].to_pylist()
-            for i, j in near_pairs(unit, n, pos, c1, c2, side, like):
-                for at in range(0, len(i), 20_000):
-                    u, v = i[at : at + 20_000], j[at : at + 20_000]
-                    keep = np.array([bits[x] is None or bits[y] is None for x, y in zip(u, v, strict=True)])
-                    known = np.flatnonzero(~keep)
-                    if len(known):
-                        x, y = u[known], v[known]
-                        keep[known] = differences([bits[r] for r in x], [bits[r] for r in y]) <= like.apart(n[x] + n[y])
-                    if keep.any():
-                        x, y = gid[u[keep]], gid[v[keep]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return wide(dealt).mapInArrow(run, "a long, b long").distinct()
+            gid = t["gid"].to_numpy()
+            for i, j in open_pairs(t, like):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(gid[i], gid[j])), pa.array(np.maximum(gid[i], gid[j]))], names=["a", "b"])
+
+    return dealt(entries).mapInArrow(run, "a long, b long").distinct()
 
 
 def cut_lists(entries: DataFrame, like: Similarity) -> DataFrame:
@@ -505,9 +540,14 @@ def similar_sets(source: DataFrame, k: int, like: Similarity) -> tuple[DataFrame
     known = written(members.join(labels.select(F.col("node").alias("sid"), F.col("component").alias("found")), "sid", "left").select("sid", "gid", "n", F.coalesce("found", "sid").alias("comp")))
     held = known.join(nodes.select("sid", "bits"), "sid").groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("members"), F.first("bits").alias("bits"))
     held = held.select("gid", "n", "c1", "c2", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
-    near = written(group_pairs(listed(postings, held, like), like))
-    pairs = written(near_enough(member_pairs(near, known), nodes, like))
-    more = verified(pairs, written(texts_of(source, nodes, _ends(pairs))), k, like)
+    coarse = written(with_partner(listed(postings, held, like), like))
+    mixed_groups = held.where("c1 <> c2").select("gid")
+    texts = written(texts_of(source, nodes, known.join(coarse.select("gid").unionByName(mixed_groups).distinct(), "gid").select("sid")))
+    fine = written(fine_parity(texts, k, like))
+    alone = known.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members = 1").join(fine.select(F.col("sid").alias("gid"), "bits"), "gid").select("gid", "bits")
+    near = written(group_pairs(coarse.join(alone, "gid", "left"), like))
+    pairs = written(near_enough(member_pairs(near, known), fine, like))
+    more = verified(pairs, texts, k, like)
     final = connected_components(links.unionByName(more))
     remove_tables(before, keep=[made, nodes, final])
     return made.select("doc", "key", "n", "hi", "lo"), nodes.select("hi", "lo", "sid", "first"), final
