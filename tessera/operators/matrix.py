@@ -92,46 +92,66 @@ def symmetry_error(a: DataFrame) -> DataFrame:
     return minus(a, transpose(a)).agg(F.max(F.abs("v")).alias("symmetry_error"))
 
 
-def gram(df: DataFrame, vector: str, dimension: int) -> np.ndarray:
-    """Sum of x x^T over rows: Arrow-batched partial products, one small matrix for
-    each task, added up by position on the executors."""
-    import pandas as pd
+def vectors(column, dimension: int) -> np.ndarray:
+    """An Arrow list column as a matrix, without a Python object for each row."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if column.null_count or len(x) != len(column) * dimension:
+        raise ValueError(f"every vector must have {dimension} entries")
+    return x.reshape(-1, dimension)
+
+
+def summed(df: DataFrame, columns: list[str], size: int, part) -> np.ndarray:
+    """The sum over all rows of an array of so many numbers; part(batch) is an Arrow
+    batch's share. Added up by position on the executors."""
+    import pyarrow as pa
 
     def run(batches):
-        g = np.zeros((dimension, dimension))
+        total = np.zeros(size)
         for b in batches:
-            x = np.stack(b[vector].to_numpy()).astype(float) if len(b) else np.zeros((0, dimension))
-            g += x.T @ x
-        yield pd.DataFrame({"p": np.arange(dimension * dimension), "v": g.ravel()})
+            if b.num_rows:
+                total += part(b).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["p", "v"])
 
-    rows = df.select(vector).mapInPandas(run, "p long, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()  # dimension squared
-    out = np.zeros(dimension * dimension)
-    for r in rows:
+    out = np.zeros(size)
+    for r in df.select(*columns).mapInArrow(run, "p long, v double").groupBy("p").agg(F.sum("v").alias("v")).collect():  # size rows
         out[r.p] = r.v
-    return out.reshape(dimension, dimension)
+    return out
+
+
+def gram(df: DataFrame, vector: str, dimension: int) -> np.ndarray:
+    """Sum of x x^T over rows: partial products, one small matrix for each task."""
+
+    def part(b):
+        x = vectors(b.column(0), dimension)
+        return x.T @ x
+
+    return summed(df, [vector], dimension * dimension, part).reshape(dimension, dimension)
 
 
 def tall_qr(df: DataFrame, vector: str, dimension: int) -> np.ndarray:
     """R of the rows' QR factorisation: each task's R, then R of those stacked in
     groups, so that no step holds more than a group of small triangles."""
-    import pandas as pd
+    import pyarrow as pa
 
     def squeeze(x: np.ndarray) -> np.ndarray:
         return np.linalg.qr(x, mode="r") if len(x) > dimension else x
 
     def first(batches):
-        r = np.zeros((0, dimension))
+        r, more = np.zeros((0, dimension)), []
         for b in batches:
-            if len(b):
-                r = squeeze(np.vstack([r, np.stack(b[vector].to_numpy()).astype(float)]))
-        yield pd.DataFrame({vector: list(r)})
-
-    kind = f"{vector} array<double>"
-    rs = df.select(vector).mapInPandas(first, kind)
+            if b.num_rows:
+                more.append(vectors(b.column(0), dimension))
+            if sum(map(len, more)) > 50_000:
+                r, more = squeeze(np.vstack([r, *more])), []
+        r = squeeze(np.vstack([r, *more]))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(np.arange(0, r.size + 1, dimension, dtype=np.int32), pa.array(r.ravel()))], names=[vector])
+
+    kind = f"`{vector}` array<double>"
+    rs = df.select(F.col(vector).cast("array<double>").alias(vector)).mapInArrow(first, kind)
     parts = rs.rdd.getNumPartitions()
     while parts > 16:
         parts = max(1, parts // 16)
-        rs = rs.coalesce(parts).mapInPandas(first, kind)
+        rs = rs.coalesce(parts).mapInArrow(first, kind)
     rows = [r[0] for r in rs.collect()]  # 16 triangles at most
     r = squeeze(np.array(rows, dtype=float).reshape(-1, dimension))
     sign = np.sign(np.diag(r[: min(r.shape)])) if len(r) else np.zeros(0)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matrix import fix_signs, gram, symmetric_eigen, tall_svd
+from .matrix import fix_signs, gram, summed, symmetric_eigen, tall_svd, vectors
 
 
 def _literal(v) -> Column:
@@ -78,18 +78,11 @@ def truncated_pca(df: DataFrame, vector: str, dimension: int, k: int, oversampli
     for _ in range(iterations):
         held = df.sparkSession.sparkContext.broadcast(q)
 
-        def run(batches, held=held):
-            z = np.zeros((dimension, width))
-            for b in batches:
-                if len(b):
-                    x = np.stack(b[vector].to_numpy()).astype(float) - mean
-                    z += x.T @ (x @ held.value)
-            yield pd.DataFrame({"p": np.arange(z.size), "v": z.ravel()})
+        def part(b, held=held):
+            x = vectors(b.column(0), dimension) - mean
+            return x.T @ (x @ held.value)
 
-        rows = df.select(vector).mapInPandas(run, "p long, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()  # dimension x width numbers
-        z = np.zeros(dimension * width)
-        for r in rows:
-            z[r.p] = r.v
+        z = summed(df, [vector], dimension * width, part)
         z = z.reshape(dimension, width)
         w, u = np.linalg.eigh(q.T @ z)
         values, ritz = w[::-1][:k], (q @ u[:, ::-1])[:, :k]

@@ -6,6 +6,7 @@ dealt over tasks, each drawn by a generator keyed by (seed, replicate).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,19 @@ def bootstrap(spark: SparkSession, sample: np.ndarray, statistic: str | Callable
     return spark.range(iterations).mapInPandas(run, "replicate long, value double")
 
 
+#: P(Poisson(1) <= k) as 64-bit thresholds; beyond k = 20 nothing is left in 64 bits.
+_POISSON = np.array([min(2**64 - 1, int(2**64 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))) for k in range(20)], dtype=np.uint64)
+
+
+def _poisson_weights(ids: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """A Poisson(1) weight for each row and replicate: a counter-based hash of seed, id and
+    replicate, looked up in the distribution. A row's weights depend on its id alone."""
+    x = ids[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, iterations + 1, dtype=np.uint64)[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed & (2**64 - 1))
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return np.searchsorted(_POISSON, x ^ (x >> np.uint64(31)), side="right").astype(float)
+
+
 def poisson_bootstrap(df: DataFrame, x: str, row_id: str, iterations: int = 200, seed: int = 0) -> DataFrame:
     """replicate, value: means of resamples of a table of any size, with Poisson(1)
     weights drawn by row and replicate; sums are partial in each task."""
@@ -58,11 +72,12 @@ def poisson_bootstrap(df: DataFrame, x: str, row_id: str, iterations: int = 200,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, n = np.zeros(iterations), np.zeros(iterations)
         for b in batches:
-            for i, v in zip(b["__id"], b["__x"], strict=True):
-                if v == v:
-                    w = np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), int(i)])).poisson(1.0, iterations)
-                    s += w * v
-                    n += w
+            b = b[b["__x"].notna()]
+            ids, v = b["__id"].to_numpy().astype(np.uint64), b["__x"].to_numpy(dtype=float)
+            for at in range(0, len(v), 4096):
+                w = _poisson_weights(ids[at : at + 4096], iterations, seed)
+                s += v[at : at + 4096] @ w
+                n += w.sum(0)
         yield pd.DataFrame({"replicate": np.arange(iterations), "s": s, "n": n})
 
     parts = df.select(F.col(row_id).cast("long").alias("__id"), F.col(x).cast("double").alias("__x")).mapInPandas(run, "replicate long, s double, n double")

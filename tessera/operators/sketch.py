@@ -90,7 +90,8 @@ def t_digest(df: DataFrame, x: str, compression: float = 50.0, keys: list[str] |
                 v = xs.to_numpy(dtype=float)
                 if len(v):
                     held[key] = _digest(np.concatenate([m, v]), np.concatenate([w, np.ones(len(v))]), compression)
-        yield pd.DataFrame([(*k, m.tolist(), w.tolist()) for k, (m, w) in held.items()], columns=[*keys, "means", "weights"])
+        if held:
+            yield pd.DataFrame([(*k, m.tolist(), w.tolist()) for k, (m, w) in held.items()], columns=[*keys, "means", "weights"])
 
     parts = df.select(*keys, F.col(x).cast("double").alias("__x")).mapInPandas(run, schema)
 

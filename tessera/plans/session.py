@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +29,22 @@ def tuned(spark: SparkSession, input_bytes: int | None = None, **more: str) -> S
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's. If neither is set, a local session gets a
+    temporary folder; on a cluster that is an error, since executors don't share one."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = f"{tempfile.gettempdir()}/tessera-checkpoints"
+    return path.rstrip("/")
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Sets the context's checkpoint folder from spark.checkpoint.dir, where neither is
-    set to a folder of this machine (tests)."""
+    """Sets the context's checkpoint folder where it isn't set."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tessera-checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def plan(df: DataFrame) -> str:

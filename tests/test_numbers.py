@@ -1,6 +1,7 @@
 """Numerical kernels against published values and identities, and edge rows."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -377,3 +378,53 @@ def test_whole_lists(spark, sf_dir):
     for i, g in d.groupby("vec_id"):
         g = g.sort_values("whole")
         assert list(g.whole) == [k - 32 for k in range(64)] and list(g.half) == [k - 31.5 for k in range(64)] and np.allclose(g.y, rows[i], atol=1e-6)
+
+
+def test_empty_partitions_hurt_nothing(spark):
+    """Every operator that hands partitions to Python, on partitions without rows."""
+    g = np.random.default_rng(0)
+    x = g.standard_normal((40, 3))
+    y = x @ [2.0, -1.5, 0.75] + 3.25
+    d = spark.createDataFrame([(i, [1.0, *map(float, r)], float(v)) for i, (r, v) in enumerate(zip(x, y, strict=True))], "id long, v array<double>, y double").repartition(8, "id").where("id < 6")
+    assert 0 in d.select(F.spark_partition_id()).rdd.glom().map(len).collect()
+    kept = np.c_[np.ones(6), x[:6]]
+    r = matrix.tall_qr(d, "v", 4)
+    assert np.allclose(r.T @ r, kept.T @ kept)
+    assert matrix.tall_qr(d.where("id < 0"), "v", 4).shape == (0, 4)
+    assert np.allclose(matrix.tall_svd(d, "v", 4)[0], np.linalg.svd(kept)[1])
+    assert np.allclose(matrix.gram(d, "v", 4), kept.T @ kept)
+    assert np.allclose(reduce.pca(d, "v", 4, 2).variance, np.linalg.eigvalsh(np.cov(kept.T))[::-1][:2])
+    assert sketch.t_digest(d, "y").first().n == 6
+    few = spark.createDataFrame([(float(i), float(i * i % 7), 3.0 * i - 2 * (i * i % 7) + 1) for i in range(10)], "a double, b double, y double").repartition(8).where("y > 0").withColumn("one", F.lit(1.0))
+    assert np.allclose(regress.ols(few, ["one", "a", "b"], "y").beta, [1, 3, -2])
+    assert np.allclose(regress.ols(few.withColumn("w", F.lit(2.0)), ["one", "a", "b"], "y", weight="w").beta, [1, 3, -2])
+    assert sketch.t_digest(d.where("id < 0"), "y").count() == 0
+
+
+def test_special_functions_against_the_library():
+    x = np.linspace(-7, 27, 4001)
+    want = np.array([math.erfc(v) for v in x])
+    assert (np.abs(special.erfc(x) - want) <= 1e-12 * want).all()
+    want = np.array([math.erf(v) for v in x])
+    assert (np.abs(special.erf(x) - want) <= 1e-13 * np.abs(want)).all()
+    x = np.r_[np.linspace(1e-6, 40, 4001), np.linspace(-5.31, -0.11, 200), 1 + 1e-7, 2 - 3e-9, 1e5, 1e300]
+    want = np.array([math.lgamma(v) for v in x])
+    assert (np.abs(special.lgamma(x) - want) <= 1e-11 * np.maximum(np.abs(want), 1e-4)).all()
+    assert special.lgamma(np.array([0.0, -1.0, np.inf])).tolist() == [math.inf] * 3
+    assert special.erfc(np.array([np.inf, -np.inf])).tolist() == [0.0, 2.0]
+
+
+@pytest.mark.parametrize("least", [100_000, 300])
+def test_quartiles_between_percentiles(spark, monkeypatch, least):
+    """Large groups seek their ranks in gaps; the result is that of sorted halves."""
+    monkeypatch.setattr(stats, "BRACKET_FROM", least)
+    g = random.Random(1)
+    groups = {"a": [g.random() for _ in range(4001)], "b": [float(g.randrange(5)) for _ in range(3000)], "c": [1.0, 2.0, 4.0], "d": [3.0], "e": [g.expovariate(1) ** 3 for _ in range(2002)]}
+    d = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, x double").repartition(6)
+    got = {r.k: r for r in stats.halves_quartiles(d, ["k"], "x").collect()}
+    mid = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    for k, vs in groups.items():
+        vs = sorted(vs)
+        h = max(1, len(vs) // 2)
+        assert (got[k].n, got[k].lower_quartile, got[k].median, got[k].upper_quartile, got[k].low, got[k].high) == (len(vs), mid(vs[:h]), mid(vs), mid(vs[-h:]), vs[0], vs[-1])
+    assert stats.halves_quartiles(d.where("k = 'a'"), [], "x").first().median == got["a"].median
