@@ -424,12 +424,9 @@ def open_pairs(t: pa.Table, like: Similarity) -> Iterator[tuple[np.ndarray, np.n
             yield u[keep], v[keep]
 
 
-def dealt(entries: DataFrame) -> DataFrame:
-    return wide(entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT))
-
-
 def with_partner(entries: DataFrame, like: Similarity) -> DataFrame:
     """The entries (UNIT) that have a partner, without their bits."""
+    rows = wide(entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(batches):
@@ -438,20 +435,30 @@ def with_partner(entries: DataFrame, like: Similarity) -> DataFrame:
                 keep[i] = keep[j] = True
             yield from t.select(UNIT[:-1]).filter(pa.array(keep)).to_batches(WIDE)
 
-    return dealt(entries).mapInArrow(run, entries.select(*UNIT[:-1]).schema)
+    return rows.mapInArrow(run, entries.select(*UNIT[:-1]).schema)
 
 
 def group_pairs(entries: DataFrame, like: Similarity) -> DataFrame:
-    """entries (UNIT): pairs of groups (a, b) that no bound excludes."""
+    """entries (UNIT and lists: all lists of the group): pairs of groups (a, b) that no
+    bound excludes, once each: a pair is taken in the least list that both are in. (Where
+    a bound excludes it in one of their lists, it can't link.)"""
+    rows = wide(entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT, "lists"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(batches):
-            gid = t["gid"].to_numpy()
+            gid, at = t["gid"].to_numpy(), t["list"].to_numpy()
+            lists: dict[int, frozenset] = {}
             for i, j in open_pairs(t, like):
+                for r in np.unique(np.concatenate([i, j])):
+                    if gid[r] not in lists:
+                        lists[gid[r]] = frozenset(t["lists"][int(r)].as_py())
+                least = np.fromiter((min(lists[x] & lists[y]) for x, y in zip(gid[i], gid[j], strict=True)), dtype=np.int64, count=len(i))
+                mine = least == at[i]
+                i, j = i[mine], j[mine]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(gid[i], gid[j])), pa.array(np.maximum(gid[i], gid[j]))], names=["a", "b"])
 
-    return dealt(entries).mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def cut_lists(entries: DataFrame, like: Similarity) -> DataFrame:
@@ -545,7 +552,8 @@ def similar_sets(source: DataFrame, k: int, like: Similarity) -> tuple[DataFrame
     texts = written(texts_of(source, nodes, known.join(coarse.select("gid").unionByName(mixed_groups).distinct(), "gid").select("sid")))
     fine = written(fine_parity(texts, k, like))
     alone = known.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members = 1").join(fine.select(F.col("sid").alias("gid"), "bits"), "gid").select("gid", "bits")
-    near = written(group_pairs(coarse.join(alone, "gid", "left"), like))
+    lists = coarse.groupBy("gid").agg(F.collect_set("list").alias("lists"))  # of one prefix
+    near = written(group_pairs(coarse.join(lists.join(alone, "gid", "left"), "gid"), like))
     pairs = written(near_enough(member_pairs(near, known), fine, like))
     more = verified(pairs, texts, k, like)
     final = connected_components(links.unionByName(more))
