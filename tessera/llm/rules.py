@@ -1,12 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Every rule rejects a document whose statistic goes beyond a cutoff. Labelled
-documents choose the cutoffs: in each stratum (by number of words) and for each
-rule, cutoffs are tried from the mildest to the strictest, and the strictest is
-taken for which, and for all milder ones, the exact binomial test rejects "more
-than max_false of the good documents go". Trying in that fixed order needs no
-correction along the order; the level is divided by the number of strata and
-rules (Bonferroni). With too few labels a rule gets no cutoff and rejects none.
+Every rule rejects a document whose statistic goes beyond a cutoff. The cutoffs of all
+rules form one ladder, from the mildest to the strictest, fixed before any label is seen.
+Labelled documents, of which nothing else is fitted, choose the step: in each stratum (by
+number of words) steps are tried in order, and the last one is taken for which, and for
+all before it, the exact binomial test rejects "all rules together reject more than
+max_false of the good documents". Trying in that fixed order needs no correction; the
+level is divided by the number of strata (Bonferroni). Strata with too few labels to
+certify anything are pooled with their neighbours first, by their numbers alone. A pool
+that is still too small gets no step, and its rules reject none.
 """
 
 from __future__ import annotations
@@ -139,40 +141,73 @@ def _beta(a: float, b: float, x: float) -> float:
     return front * h
 
 
-def choose_cutoffs(counts: dict[tuple[int, str], tuple[int, list[int]]], max_false: float = MAX_FALSE, level: float = LEVEL) -> dict[tuple[int, str], float]:
-    """counts: for each stratum and rule the number of good documents, and of those
-    that each cutoff rejects. Each rule may falsely reject max_false divided by the
-    number of rules, so that all rules together keep to max_false."""
+#: Steps of the ladder; a rule with fewer cutoffs stays at its last.
+STEPS = max(map(len, CUTOFFS.values()))
+
+
+def cutoff(rule: str, step: int) -> float:
+    return CUTOFFS[rule][min(step, len(CUTOFFS[rule]) - 1)]
+
+
+def least_labels(max_false: float, level: float) -> int:
+    """Good documents without which no step can be certified, though none is rejected."""
+    return math.ceil(math.log(level / (len(STRATA) + 1)) / math.log1p(-max_false))
+
+
+def pools(numbers: list[int], least: int) -> list[list[int]]:
+    """Neighbouring strata together until each pool has so many labels, if there are."""
+    out: list[list[int]] = [[]]
+    for s, _ in enumerate(numbers):
+        if sum(numbers[x] for x in out[-1]) >= least:
+            out.append([])
+        out[-1].append(s)
+    if len(out) > 1 and sum(numbers[x] for x in out[-1]) < least:
+        last = out.pop()
+        out[-1] += last
+    return out
+
+
+def choose_steps(counts: dict[int, tuple[int, list[int]]], max_false: float = MAX_FALSE, level: float = LEVEL) -> dict[int, int]:
+    """counts: for each stratum the number of good documents, and of those that each step
+    rejects. The certified step of each stratum that has one."""
+    strata = range(len(STRATA) + 1)
+    full = [counts.get(s, (0, [0] * STEPS)) for s in strata]
     out = {}
-    each = level / ((len(STRATA) + 1) * len(CUTOFFS))
-    for (s, rule), (n, rejected) in counts.items():
-        for cutoff, k in zip(CUTOFFS[rule], rejected, strict=True):
-            if n == 0 or binomial_tail(k, n, max_false / len(CUTOFFS)) > each:
+    for pool in pools([n for n, _ in full], least_labels(max_false, level)):
+        n = sum(full[s][0] for s in pool)
+        for step in range(STEPS):
+            k = sum(full[s][1][step] for s in pool)
+            if n == 0 or binomial_tail(k, n, max_false) > level / len(strata):
                 break
-            out[s, rule] = cutoff
+            out |= dict.fromkeys(pool, step)
     return out
 
 
-def false_rejections(counted: DataFrame, labels: DataFrame) -> dict[tuple[int, str], tuple[int, list[int]]]:
-    """Of the good documents that the base rules keep, by stratum and rule. The join
-    is on ids and counts, not texts; its result has a row for each stratum."""
+def rejected(step: int) -> Column:
+    bad = F.lit(False)
+    for r in CUTOFFS:
+        bad = bad | (statistic(r) > cutoff(r, step))
+    return bad
+
+
+def false_rejections(counted: DataFrame, labels: DataFrame) -> dict[int, tuple[int, list[int]]]:
+    """Of the good documents that the base rules keep, by stratum. The join is on ids and
+    counts, not texts; its result has a row for each stratum."""
     good = labels.where(F.col("quality") == 1).select("doc_id").dropDuplicates()
-    rules = list(CUTOFFS)
+    each = [F.count_if(F.col(f"step{k}")) for k in range(STEPS)]
     rows = (
         counted.where(~base_failed()).join(good, "doc_id")
-        .select(stratum().alias("stratum"), *[statistic(r).alias(r) for r in rules])
-        .groupBy("stratum")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.array(*[F.count_if(F.col(r) > c) for c in CUTOFFS[r]]).alias(f"{r}_rejected") for r in rules])
-        .collect()
+        .select(stratum().alias("stratum"), *[rejected(k).alias(f"step{k}") for k in range(STEPS)])
+        .groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*each).alias("rejected")).collect()
     )
-    return {(row.stratum, r): (row.n, list(row[f"{r}_rejected"])) for row in rows for r in rules}
+    return {r.stratum: (r.n, list(r.rejected)) for r in rows}
 
 
-def verdict(cutoffs: dict[tuple[int, str], float]) -> Column:
-    """True if no cutoff of the document's stratum rejects it."""
+def verdict(steps: dict[int, int]) -> Column:
+    """True if no rule rejects at the step of the document's stratum."""
     bad = F.lit(False)
-    for (s, rule), cutoff in sorted(cutoffs.items()):
-        bad = bad | ((stratum() == s) & (statistic(rule) > cutoff))
+    for s, step in sorted(steps.items()):
+        bad = bad | ((stratum() == s) & rejected(step))
     return ~bad
 
 
@@ -180,12 +215,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_
     """docs with FIELDS, base_failed and kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word
-    windows. kept: not base_failed and no rule with a certified cutoff rejects.
-    Null and empty texts fail. Null ids match no label. Without labels no cutoff is
+    windows. kept: not base_failed and no rule rejects at the certified step.
+    Null and empty texts fail. Null ids match no label. Without labels no step is
     certified. Repeated label rows count once. The counts are written once to the
     shared checkpoint folder, since thresholds and verdicts both read them.
     """
     checkpoint_dir(docs.sparkSession)
     counted = count_rules(docs, text_col, keep).checkpoint()
-    cutoffs = choose_cutoffs(false_rejections(counted, labels), max_false, level)
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+    steps = choose_steps(false_rejections(counted, labels), max_false, level)
+    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(steps))

@@ -527,24 +527,55 @@ def test_binomial_bounds():
         assert abs(rules.binomial_tail(k, n, p) - direct) < 1e-12
 
 
-def test_cutoffs_limit_false_rejections():
-    r = "symbol_share"
-    n = len(rules.CUTOFFS[r])
-    assert rules.choose_cutoffs({(0, r): (10, [0] * n)}) == {}  # too few to say anything
-    assert rules.choose_cutoffs({(0, r): (100_000, [0] * n)}) == {(0, r): rules.CUTOFFS[r][-1]}
-    assert rules.choose_cutoffs({(0, r): (100_000, [0, 0, 900] + [99_999] * (n - 3))}) == {(0, r): rules.CUTOFFS[r][2]}
-    # In repeated trials the chosen cutoff exceeds its limit no more often than the level.
+def test_steps_limit_false_rejections():
+    n = rules.STEPS
+    assert rules.choose_steps({0: (10, [0] * n)}) == {}  # too few to say anything
+    assert rules.choose_steps({s: (100_000, [0] * n) for s in range(3)}) == dict.fromkeys(range(3), n - 1)
+    assert rules.choose_steps({1: (100_000, [0, 0, 4000] + [99_999] * (n - 3))}) == dict.fromkeys(range(3), 2)
+    assert rules.pools([10, 10, 500], 80) == [[0, 1, 2]] and rules.pools([90, 10, 70, 30], 80) == [[0], [1, 2, 3]] and rules.pools([90, 90, 1], 80) == [[0], [1, 2]]
+    # In repeated trials the chosen step exceeds its limit no more often than the level.
     g = np.random.default_rng(0)
-    limit, over = rules.MAX_FALSE / len(rules.CUTOFFS), 0
+    over = 0
     for _ in range(300):
-        true = np.linspace(0, 0.03, n)
+        true = np.sort(g.random(n)) * 4 * rules.MAX_FALSE
         draws = g.random(3000)
-        chosen = rules.choose_cutoffs({(0, r): (3000, [int((draws < t).sum()) for t in true])})
-        over += (0, r) in chosen and true[rules.CUTOFFS[r].index(chosen[0, r])] > limit
+        chosen = rules.choose_steps({0: (3000, [int((draws < t).sum()) for t in true])})
+        over += 0 in chosen and true[chosen[0]] > rules.MAX_FALSE
     assert over <= 300 * rules.LEVEL
 
 
-# 10
+def test_kept_against_brute_force(spark):
+    """Steps and verdicts, counted text by text; odd rows and clashing columns ride along."""
+    g = random.Random(4)
+    word = lambda: "".join(g.choice("abcdefgh") for _ in range(g.randrange(2, 9)))
+    rows = []
+    for i in range(700):
+        w = [word() for _ in range(g.choice([60, 120, 300]))]
+        for _ in range(g.choice([0, 0, 0, 5, 40])):
+            w[g.randrange(len(w))] = g.choice(["##", "SHOUT", "$$$"])
+        rows.append((100 + i, " ".join(w)))
+    labelled = [(100 + i, int(i % 3 > 0), 0) for i in range(600)]
+    docs = odd(spark).unionByName(docs_of(spark, rows), allowMissingColumns=True)
+    got = {r.doc_id: r.kept for r in rules.apply_rules(docs, spark.createDataFrame(labelled, LABELS)).collect()}
+
+    def stats(t):
+        n, chars, symbols, dup, repeat, upper, lines = rules.text_counts((t or "").encode())
+        share = lambda x, y: x / y if y else 0.0
+        return n, {"symbol_share": share(symbols, chars), "dup_line_share": share(dup, lines), "repeat_share": share(repeat, n), "upper_share": share(upper, chars), "word_length": share(chars, n)}, n < 50 or 100 * repeat > 50 * n
+
+    def bad(values, step):
+        return any(v > rules.CUTOFFS[r][min(step, len(rules.CUTOFFS[r]) - 1)] for r, v in values.items())
+
+    stratum = lambda n: sum(n >= e for e in rules.STRATA)
+    good = {i for i, q, _ in labelled if q}
+    held = [stats(t) for i, t in rows if i in good]
+    counts = {s: [v for n, v, failed in held if not failed and stratum(n) == s] for s in range(3)}
+    steps = rules.choose_steps({s: (len(v), [sum(bad(x, k) for x in v) for k in range(rules.STEPS)]) for s, v in counts.items() if v})
+    assert steps
+    for i, t in [*ODD, *rows]:
+        n, values, failed = stats(t)
+        s = stratum(n)
+        assert got[i] == (not failed and not (s in steps and bad(values, steps[s])))
 
 
 def test_token_counts_equal_the_tokenizer(spark):
