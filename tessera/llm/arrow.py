@@ -34,6 +34,14 @@ def without(df: DataFrame, names: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in clash]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, longer if df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_text(
     df: DataFrame,
     make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]],
@@ -49,7 +57,7 @@ def map_text(
     kept = without(df, [*(n for n, _ in fields), *extra]) if keep is None else keep
     own = text_col in kept and isinstance(df.schema[text_col].dataType, T.StringType)  # then it's sent once
     at = kept.index(text_col) if own else len(kept)
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if own else [F.col(f"`{text_col}`").cast("string").alias("__text")]), *extra)
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *([] if own else [F.col(f"`{text_col}`").cast("string").alias(fresh(df, "__text"))]), *extra)
     after = len(kept) + (not own)
     out = T.StructType([*source.schema.fields[: len(kept)], *(T.StructField(n, t, True) for n, t in fields)])
     names = out.fieldNames()

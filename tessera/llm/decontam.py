@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import LOWER, as_bytes, map_text, small_batches, without
+from .arrow import LOWER, as_bytes, fresh, map_text, small_batches, without
 from .storage import checkpoint_dir, written
 
 #: Bytes of benchmark text in one automaton; a larger benchmark has several.
@@ -281,7 +281,7 @@ def decontaminate(
     for k, held in enumerate(passes):
         shared = [spark.sparkContext.broadcast(bytes(r.machine)) for r in made.where(F.col("block").isin(held)).orderBy("block").toLocalIterator()]
         if k + 1 < len(passes):
-            names = [f"__spans{k}", f"__items{k}"]
+            names = [fresh(docs, f"__spans{k}"), fresh(docs, f"__items{k}")]
             fields = list(zip(names, (SPANS, ITEMS), strict=True))
             checkpoint_dir(spark)
             docs = map_text(docs, _scanner(shared), fields, text_col, [*carried, *before]).checkpoint()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_text, small_batches
+from .arrow import fresh, map_text, small_batches
 from .storage import written
 from .wrappers import CONSTANT_PAGES, CONSTANT_SHARE, extract, learn, page_keys
 
@@ -86,8 +86,9 @@ def _with_host(rows: DataFrame, hosts: DataFrame, host: str, key: str, small: bo
     to SALTS places, and the rows of a host are dealt among them by key."""
     if small:
         return rows.join(F.broadcast(hosts), host, how)
-    salted = hosts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(f"`{key}`"), F.lit(SALTS)).cast("int")).join(salted, [host, "__salt"], how).drop("__salt")
+    salt = fresh(rows, "__salt")
+    salted = hosts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(f"`{key}`"), F.lit(SALTS)).cast("int")).join(salted, [host, salt], how).drop(salt)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
@@ -99,12 +100,13 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     Pages without a url share the wrapper of host "". Very long pages are read
     whole. Columns called text or n_chars are replaced.
     """
-    named = pages.withColumn("__host", host_of(F.col(f"`{url_col}`")))
-    bodies = named.select(F.col("__host").alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
+    host, found = fresh(pages, "__host"), fresh(pages, "__wrapper")
+    named = pages.withColumn(host, host_of(F.col(f"`{url_col}`")))
+    bodies = named.select(F.col(host).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
     wrappers = host_wrappers(bodies).join(host_constants(bodies), "host", "left")
-    slim = written(wrappers.select(F.col("host").alias("__host"), _slim(F.col("wrapper"), F.col("constants")).alias("__wrapper")))
-    size = slim.agg(F.coalesce(F.sum(F.length("__wrapper")), F.lit(0))).first()[0]
-    joined = _with_host(named, slim, "__host", html_col, size <= BROADCAST_CHARS, "left")
+    slim = written(wrappers.select(F.col("host").alias(host), _slim(F.col("wrapper"), F.col("constants")).alias(found)))
+    size = slim.agg(F.coalesce(F.sum(F.length(found)), F.lit(0))).first()[0]
+    joined = _with_host(named, slim, host, html_col, size <= BROADCAST_CHARS, "left")
 
     def make():
         known: dict[str, dict] = {}
@@ -121,7 +123,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
 
         return each
 
-    return map_text(joined.drop("__host"), make, [("text", T.StringType()), ("n_chars", T.LongType())], html_col, keep, ["__wrapper"])
+    return map_text(joined.drop(host), make, [("text", T.StringType()), ("n_chars", T.LongType())], html_col, keep, [found])
 
 
 def _slim(wrapper: Column, constants: Column) -> Column:

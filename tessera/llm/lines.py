@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import LOWER, SPACE, as_bytes, map_text, small_batches
+from .arrow import LOWER, SPACE, as_bytes, fresh, map_text, small_batches
 from .storage import written
 
 TAIL = bytes(range(0x80, 0xC0))
@@ -215,9 +215,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     One shuffle of the texts by id; each partition's bitmaps are hashed in memory.
     """
     wanted = docs if keep is None else docs.select(*dict.fromkeys([*keep, id_col, text_col]))
-    tagged = wanted.withColumn("__tag", text_tag(text_col))
-    right = bitmaps.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag2"), F.col("keep").alias("__keep"))
-    joined = tagged.join(right.hint("shuffle_hash"), (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.col("__tag") == F.col("__tag2")), "left").drop("__doc", "__tag2", "__tag")
+    tag, doc, other, bits = (fresh(wanted, n) for n in ("__tag", "__doc", "__other", "__keep"))
+    tagged = wanted.withColumn(tag, text_tag(text_col))
+    right = bitmaps.select(F.col("doc").alias(doc), F.col("tag").alias(other), F.col("keep").alias(bits))
+    joined = tagged.join(right.hint("shuffle_hash"), (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col(doc)) & (F.col(tag) == F.col(other)), "left").drop(doc, other, tag)
 
     def make():
         def each(texts, keeps):
@@ -228,4 +229,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         return each
 
     fields = [("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_text", T.StringType()), ("kept_sha256", T.StringType())]
-    return map_text(joined, make, fields, text_col, keep, ["__keep"])
+    return map_text(joined, make, fields, text_col, keep, [bits])

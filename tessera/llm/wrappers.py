@@ -32,6 +32,9 @@ MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup "
     "promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets alert warning toc disclaimer".split()
 )
+#: Words that stand beside those in the id of page furniture. A heading's id
+#: that has other words too ("related-work") is an anchor.
+BESIDE = frozenset("area articles bar block bottom box button container content form item items left links list main page panel posts right section site top us widget wrap wrapper".split())
 REGION_TAGS = frozenset({"article", "main"})
 
 TOKEN = re.compile(
@@ -41,6 +44,9 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
+#: Elements whose names a path holds; those further in share the path.
+DEEPEST = 200
+
 #: A text is constant if it stands on this share of a host's different pages, and on so many.
 CONSTANT_SHARE = 0.9
 CONSTANT_PAGES = 3
@@ -55,11 +61,10 @@ def furniture(tag: str, attrs: str) -> bool:
         return False
     for name, a, b, c in ATTR.findall(attrs):
         name = name.lower()
-        if name in ("class", "id", "role"):
-            for word in re.split(r"[^a-z0-9]+", (a or b or c).lower()):
-                if word in MARKS:
-                    return True
-        elif name == "aria-hidden" and (a or b or c).lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (a or b or c).lower()):
+        words = [w for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w]
+        if name in ("class", "role") and any(w in MARKS for w in words) or name == "id" and any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+            return True
+        if name == "aria-hidden" and (a or b or c).lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", (a or b or c).lower()):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs)) and "hidden" not in {n.lower() for n, *_ in ATTR.findall(attrs) if n.lower() != "hidden"}
 
@@ -112,6 +117,7 @@ def pieces(page: str) -> list[Piece]:
     """All texts in page order. Unclosed elements end with the element around them;
     a stray end tag ends nothing."""
     stack: list[tuple[str, bool]] = []
+    opened: Counter = Counter()
     path, bad, block = "", False, 0
     paths: list[tuple[str, bool]] = []
     out: list[Piece] = []
@@ -128,26 +134,29 @@ def pieces(page: str) -> list[Piece]:
                     k -= 1
                 if k >= 0 and stack[k][0] == "p":
                     path, bad = paths[k]
+                    opened.subtract(x for x, _ in stack[k:])
                     del stack[k:], paths[k:]
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and stack:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         path, bad = paths[k]
+                        opened.subtract(x for x, _ in stack[k:])
                         del stack[k:], paths[k:]
                         break
                     if stack[k][0] in ("ul", "ol", "table", "tbody", "dl", "select", "article", "div"):
                         break
-            if len(stack) < 200:
-                paths.append((path, bad))
-                stack.append((tag, bad))
-                if tag not in INLINE:
-                    path = f"{path}/{tag}"
-                # The page's own <header> holds menus; an article's may hold its title.
-                bad = bad or (furniture(tag, more) and not (tag == "header" and "/article" in path and not re.search(r"class|id", more)))
-        else:
+            paths.append((path, bad))
+            stack.append((tag, bad))
+            opened[tag] += 1
+            if tag not in INLINE and len(stack) <= DEEPEST:
+                path = f"{path}/{tag}"
+            # The page's own <header> holds menus; an article's may hold its title.
+            bad = bad or (furniture(tag, more) and not (tag == "header" and "/article" in path and not re.search(r"class|id", more)))
+        elif opened[tag]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     path, bad = paths[k]
+                    opened.subtract(x for x, _ in stack[k:])
                     del stack[k:], paths[k:]
                     break
     return out

@@ -54,6 +54,31 @@ def test_extraction_of_varied_pages():
     assert wrappers.extract("plain a < b", None) == "plain a < b"
 
 
+def test_anchors_and_deep_nesting_stay():
+    page = '<article><h2 id="related-work">Related work</h2><p>We compare.</p><section id="search-algorithms"><p>Binary search halves.</p></section><div id="related-posts">More</div><div id="comments">c</div></article>'
+    assert wrappers.extract(page, None) == "Related work We compare. Binary search halves."
+    for depth in (50, 250, 3000):
+        page = "<body><article><p>one</p>" + "<div>" * depth + "deep" + "</div>" * depth + "<p>after</p></article><footer>f</footer></body>"
+        assert wrappers.extract(page, None) == "one deep after"
+    page = "<article>" + "<div>" * 20_000 + "x" + "</b>" * 20_000 + "</article>"
+    assert wrappers.extract(page, None) == "x"
+
+
+def test_helper_columns_may_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/x", "<article><p>one</p></article>")], "page_id long, url string, html string")
+    for name in ("__wrapper", "__host", "__salt", "__text"):
+        pages = pages.withColumn(name, F.lit("mine"))
+    got = html.extract_text(pages).first()
+    assert got.text == "one" and got["__host"] == got["__wrapper"] == got["__salt"] == got["__text"] == "mine"
+    docs = docs_of(spark, [(i, f"{LONG}\nown {i}") for i in range(6)])
+    for name in ("__doc", "__tag", "__keep", "__tag2", "__other", "__text", "__spans0"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    got = lines.apply_bitmaps(docs, lines.dedup_lines(docs)).collect()
+    assert sum(r.n_dropped for r in got) == 5 and all(r["__keep"] == r["__doc"] == r["__text"] == "mine" for r in got)
+    got = decontam.decontaminate(docs, spark.createDataFrame([(1, "own 3")], BENCH)).where("n_hit > 0").collect()
+    assert [r.doc_id for r in got] == [3] and got[0]["__spans0"] == "mine"
+
+
 def test_wrapper_inference():
     pages = [f"<body><div class='menu'><a>Home</a><a>About</a></div><div id=post><h1>Title {i}</h1>" + "".join(f"<p>text {i} {j}</p>" for j in range(2 + i)) + ("<blockquote>only here</blockquote>" if i == 2 else "") + "<p>Share this</p></div></body>" for i in range(4)]
     known = wrappers.learn(pages)
