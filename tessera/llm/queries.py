@@ -70,9 +70,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary_path() -> str:
+    named = os.environ.get("TESSERA_UNIGRAM_MODEL")
+    if named:
+        return named
     import public_tokenizers
 
-    return os.environ.get("TESSERA_UNIGRAM_MODEL") or str(public_tokenizers.path("piece_bpe_32k.model"))
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
