@@ -313,3 +313,29 @@ def matrix_checks_all(spark, sf_dir):
     a, b, g = _whole(spark, sf_dir)
     same = matrix.approximately_equal(a, a, 1e-6).withColumnRenamed("equal", "equal_self")
     return matrix.symmetry_error(g).crossJoin(matrix.approximately_equal(a, b, 1e-6)).crossJoin(same).select(rounded(F.col("symmetry_error")).alias("symmetry_error"), "equal", "equal_self")
+
+
+# 32-bit floats, on the whole table.
+
+MF = "WITH m AS (SELECT CAST(vec_id AS BIGINT) AS i, CAST(unnest(embedding) AS FLOAT) AS v, CAST(unnest(list_reverse(embedding)) AS FLOAT) AS w, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j FROM embeddings) "
+
+
+def _floats(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return matrix.single(matrix.from_rows(v, "vec_id", "a")), matrix.single(matrix.from_rows(v, "vec_id", "b"))
+
+
+@query(MF + "SELECT x.j AS i, y.j AS j, round(CAST(CAST(0.5 * sum(CAST(x.v AS DOUBLE) * CAST(y.w AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) AS v FROM m x JOIN m y ON x.i = y.i GROUP BY ALL")
+def float_products(spark, sf_dir):
+    a, b = _floats(spark, sf_dir)
+    return matrix.single(matrix.multiply(a, b, True, False, 0.5)).withColumn("v", rounded(F.col("v"), 3))
+
+
+@query(MF + "SELECT i, j, round(CAST(v + w AS DOUBLE), 6) AS added, round(CAST(v - w AS DOUBLE), 6) AS subtracted, round(CAST(CAST(abs(CAST(v AS DOUBLE)) * 2.5 AS FLOAT) AS DOUBLE), 6) AS scaled, round(CAST(CASE WHEN i = 1 AND j = 2 THEN 9 ELSE v END AS DOUBLE), 6) AS changed, round(CAST(v + first_value(w) OVER (PARTITION BY i ORDER BY j) AS DOUBLE), 6) AS shifted FROM m")
+def float_elementwise(spark, sf_dir):
+    a, b = _floats(spark, sf_dir)
+    out = a.select("i", "j")
+    made = {"added": matrix.add(a, b), "subtracted": matrix.minus(a, b), "scaled": matrix.scale(matrix.absolute(a), 2.5), "changed": matrix.set_entry(a, 1, 2, 9.0), "shifted": matrix.add_to_columns(a, b.where("j = 0"))}
+    for name, m in made.items():
+        out = out.join(matrix.single(m).select("i", "j", rounded(F.col("v")).alias(name)), ["i", "j"])
+    return out

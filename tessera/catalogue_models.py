@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from .catalogue import query, rounded, rows, table
-from .operators import matrix, reduce, regress, solve
+from .operators import matrix, reduce, regress, sketch, solve
 from .plans.session import shared_dir
 from .sources import random as rnd
 from .streaming import accumulators
@@ -127,9 +127,35 @@ def factorisations(spark, sf_dir):
     return rows(spark, [tuple(map(bool, checks))], "svd boolean, eigen boolean, cholesky boolean, inverse boolean, solve boolean")
 
 
+@query("SELECT round(sqrt(sum(CAST(x AS DOUBLE) * x)), 6) AS norm, 0.0::DOUBLE AS svd_reconstruction, 0.0::DOUBLE AS left_orthonormality, 0.0::DOUBLE AS right_orthonormality, 0.0::DOUBLE AS eigen_reconstruction, 0.0::DOUBLE AS eigen_residual FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+def decomposition_errors(spark, sf_dir):
+    """What a decomposition of all embeddings leaves, to nine digits, and their norm from it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    s, v = matrix.tall_svd(e, "embedding", WIDTH)
+    left = matrix.left_vectors(e, "embedding", s, v)
+    error = matrix.reconstruction_error(matrix.reconstructed(left, "u", s, v, "fitted"), "embedding", "fitted")
+    g = matrix.gram(e, "embedding", WIDTH)
+    w, u = matrix.symmetric_eigen(g)
+    found = {"left_orthonormality": matrix.orthonormality_error(matrix.tall_qr(left, "u", WIDTH)), "right_orthonormality": matrix.orthonormality_error(v), "eigen_reconstruction": matrix.eigen_reconstruction_error(g, w, u), "eigen_residual": matrix.eigen_residual_error(g, w, u)}
+    return error.select(rounded(F.lit(float(np.sqrt((s**2).sum())))).alias("norm"), rounded(F.col("error"), 9).alias("svd_reconstruction"), *[rounded(F.lit(x), 9).alias(n) for n, x in found.items()])
+
+
 # Solvers
 
 
+@query("SELECT l_returnflag, round(avg(l_quantity), 4) AS plain, round(avg(l_quantity), 4) AS sloped FROM lineitem GROUP BY 1")
+def line_minimum(spark, sf_dir):
+    """The point of least squared distance to a group's values, from its sums: without
+    and with the derivative."""
+    q = F.col("l_quantity")
+    out = []
+    for r in table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg(q).alias("m"), F.avg(q * q).alias("s")).collect():  # three flags
+        f, slope = (lambda t, r=r: t * t - 2 * r.m * t + r.s), (lambda t, r=r: 2 * (t - r.m))
+        around = solve.bracket(f, 0.0, 1.0)
+        out.append((r.l_returnflag, *[float(solve.line_minimize(f, *around, slope=g).point[0]) for g in (None, slope)]))
+    return rows(spark, out, "l_returnflag string, plain double, sloped double").select("l_returnflag", rounded(F.col("plain"), 4).alias("plain"), rounded(F.col("sloped"), 4).alias("sloped"))
+
+
 @query("SELECT p_partkey, round(cbrt(p_retailprice), 8) AS root FROM part")
 def roots_by_row(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", rounded(solve.root_column(lambda x, p: x**3 - p, F.col("p_retailprice"), 0.0, 1000.0), 8).alias("root"))
@@ -210,3 +236,36 @@ def streaming_medians(spark, sf_dir):
     s = accumulators.file_stream(spark, sf_dir, "events.parquet")
     d = _drained(accumulators.running_medians(s, "event_type", "value"), "update")
     return d.groupBy("key").agg(F.max_by(F.struct("n", "median"), "n").alias("m")).select("key", "m.*")
+
+
+def _event_stream(spark, sf_dir):
+    return accumulators.file_stream(spark, sf_dir, "events.parquet").withColumn("t", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT unnest([time_bucket(INTERVAL '3 hours', ts), time_bucket(INTERVAL '3 hours', ts) - INTERVAL '3 hours']) AS start, count(value) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+def streaming_sliding(spark, sf_dir):
+    d = _drained(accumulators.windowed_statistics(_event_stream(spark, sf_dir), "t", "value", [], "6 hours", "1 hour", "3 hours"))
+    return d.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", rounded(F.col("total"), 4).alias("total"), "low", "high")
+
+
+@query("WITH e AS (SELECT *, sqrt(abs(value)) AS r, sqrt(event_id % 97) AS d FROM events) SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, round(covar_samp(r, r), 6) AS r_r, round(covar_samp(r, d), 6) AS r_d, round(covar_samp(d, d), 6) AS d_d FROM e WHERE r IS NOT NULL AND d IS NOT NULL GROUP BY ALL")
+def streaming_covariance(spark, sf_dir):
+    """Of square roots: covariances of whole cents end in ties of the rounding."""
+    s = _event_stream(spark, sf_dir).withColumns({"r": F.sqrt(F.abs("value")), "d": F.sqrt(F.col("event_id") % 97)})
+    d = _drained(accumulators.windowed_covariance(s, "t", ["r", "d"], ["event_type"], "1 day", "1 hour"))
+    found = [rounded(F.col("covariances")[i]["covariance"]).alias(n) for i, n in enumerate(("r_r", "r_d", "d_d"))]
+    return d.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", *found)
+
+
+@query("SELECT event_type, count(*) AS estimate FROM events GROUP BY 1")
+def streaming_count_min(spark, sf_dir):
+    """The windows' tables added up; five items of 2,000 columns don't meet in every row."""
+    d = _drained(accumulators.windowed_count_min(_event_stream(spark, sf_dir), "t", "event_type", "1 day", "1 hour"))
+    return sketch.count_min_estimate(sketch.count_min_merge(d.select("row", "col", "count")), table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT event_type AS key, count(value) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
+def streaming_digests(spark, sf_dir):
+    d = _drained(accumulators.running_digests(_event_stream(spark, sf_dir), "event_type", "value"), "update")
+    last = d.groupBy("key").agg(F.max_by(F.struct("n", "centroids"), "n").alias("m")).select("key", "m.*")
+    return last.select("key", "n", F.element_at("centroids", 1)["mean"].alias("low"), F.element_at("centroids", -1)["mean"].alias("high"))

@@ -62,8 +62,8 @@ def multiply(a: DataFrame, b: DataFrame, trans_a: bool = False, trans_b: bool =
     """alpha op(a) op(b)."""
     ai, ak = ("j", "i") if trans_a else ("i", "j")
     bk, bj = ("j", "i") if trans_b else ("i", "j")
-    left = a.select(F.col(ai).alias("i"), F.col(ak).alias("__k"), F.col("v").alias("__a"))
-    right = b.select(F.col(bk).alias("__k"), F.col(bj).alias("j"), F.col("v").alias("__b"))
+    left = a.select(F.col(ai).alias("i"), F.col(ak).alias("__k"), F.col("v").cast("double").alias("__a"))
+    right = b.select(F.col(bk).alias("__k"), F.col(bj).alias("j"), F.col("v").cast("double").alias("__b"))
     return left.join(right, "__k").groupBy("i", "j").agg((alpha * F.sum(F.col("__a") * F.col("__b"))).alias("v"))
 
 
@@ -88,6 +88,12 @@ def approximately_equal(a: DataFrame, b: DataFrame, tolerance: float) -> DataFra
     return minus(a, b).agg(F.coalesce(F.max(F.abs("v")) <= tolerance, F.lit(True)).alias("equal"))
 
 
+def single(m: DataFrame) -> DataFrame:
+    """Entries as 32-bit floats. Sums of products run in double and are rounded once,
+    so single(gemm(single(a), ...)) is at least as exact as a float accumulation."""
+    return m.withColumn("v", F.col("v").cast("float"))
+
+
 def symmetry_error(a: DataFrame) -> DataFrame:
     return minus(a, transpose(a)).agg(F.max(F.abs("v")).alias("symmetry_error"))
 
@@ -194,6 +200,42 @@ def left_vectors(df: DataFrame, vector: str, s: np.ndarray, v: np.ndarray) -> Da
     return df.withColumn("u", F.array(*[fold(c) for c in cols]))
 
 
+def reconstructed(df: DataFrame, u: str, s: np.ndarray, v: np.ndarray, name: str) -> DataFrame:
+    """Adds name, the row u S V^T: with every factor the row that u was made from."""
+    cols = [F.array(*[F.lit(float(x)) for x in v[j] * s]) for j in range(len(v))]
+    fold = lambda c: F.aggregate(F.zip_with(u, c, lambda x, y: x * y), F.lit(0.0), lambda t, z: t + z)
+    return df.withColumn(name, F.array(*[fold(c) for c in cols]))
+
+
+def reconstruction_error(df: DataFrame, vector: str, fitted: str) -> DataFrame:
+    """One row: the Frobenius norm of what is left, relative to the rows' own; 0 for no rows."""
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x * x)
+    left = F.zip_with(vector, fitted, lambda x, y: x.cast("double") - y)
+    sums = df.agg(F.sum(square(left)).alias("left"), F.sum(square(F.transform(vector, lambda x: x.cast("double")))).alias("all"))
+    return sums.select(F.coalesce(F.sqrt(F.try_divide("left", "all")), F.lit(0.0)).alias("error"))
+
+
+def orthonormality_error(q: np.ndarray) -> float:
+    """Largest entry of |Q^T Q - I|. For a tall Q of rows, pass its triangle by tall_qr."""
+    return float(np.abs(q.T @ q - np.eye(q.shape[1])).max(initial=0))
+
+
+def eigen_reconstruct(w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (v * w) @ v.T
+
+
+def eigen_reconstruction_error(a: np.ndarray, w: np.ndarray, v: np.ndarray) -> float:
+    """|A - V L V^T| relative to |A|, Frobenius."""
+    size = np.linalg.norm(a)
+    return float(np.linalg.norm(a - eigen_reconstruct(w, v)) / (size if size > 0 else 1.0))
+
+
+def eigen_residual_error(a: np.ndarray, w: np.ndarray, v: np.ndarray) -> float:
+    """|A V - V L| relative to |A|, Frobenius."""
+    size = np.linalg.norm(a)
+    return float(np.linalg.norm(a @ v - v * w) / (size if size > 0 else 1.0))
+
+
 def inverse(a: np.ndarray) -> np.ndarray:
     """Inverse, verified: the residual of A A^-1 - I is bounded."""
     out = np.linalg.inv(a)

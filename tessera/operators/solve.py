@@ -212,9 +212,10 @@ def _two_loop(g: np.ndarray, s: list, y: list) -> np.ndarray:
     return q
 
 
-def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start, maximize: bool = True, l1: float = 0.0, memory: int = 4, tolerance: float = 1e-4, gradient_tolerance: float = 1e-3, most: int = 1000) -> Result:
+def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start, maximize: bool = True, l1: float = 0.0, memory: int = 4, tolerance: float = 1e-4, gradient_tolerance: float = 1e-3, most: int = 1000, watch: Callable[[np.ndarray, float, int], bool] | None = None) -> Result:
     """Limited-memory quasi-Newton ascent (descent with maximize=False). With l1 the
-    orthant-wise form: |w| l1 is subtracted and steps keep to an orthant."""
+    orthant-wise form: |w| l1 is subtracted and steps keep to an orthant. watch gets the
+    point, the value and the step's number, and tells whether to go on."""
     sign = -1.0 if maximize else 1.0
 
     def cost(w):
@@ -267,6 +268,9 @@ def lbfgs(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start, maximize:
         if small:
             why = "value"
             break
+        if watch and not watch(x, sign * total, k):
+            why = "stopped"
+            break
     return Result(x, sign * total, k, why in ("gradient", "value"), why)
 
 
@@ -304,8 +308,7 @@ def nelder_mead(f: Callable[[np.ndarray], float], start, step=None, tolerance: f
     x = np.array(start, dtype=float)
     n = len(x)
     width = np.array(step, dtype=float) if step is not None else np.where(x != 0, 0.05 * np.abs(x), 0.00025)
-    grow, shrink, inside = 1 + 2 / n, 1 - 1 / n if n > 1 else 0.5, 0.75 - 0.5 / n / 1.0
-    inside = 0.75 - 1 / (2 * n)
+    grow, shrink, inside = 1 + 2 / n, 1 - 1 / n if n > 1 else 0.5, 0.75 - 1 / (2 * n)
     used = 0
     ok = False
     for _ in range(restarts + 1):
@@ -356,17 +359,33 @@ def bracket(f: Callable[[float], float], a: float, b: float) -> tuple[float, flo
     return a, b, c
 
 
+def _slope_zero(f: Callable[[float], float], slope: Callable[[float], float], lo: float, hi: float, tolerance: float, most: int) -> Result:
+    """Where the slope changes from falling to rising: secants, and a bisection wherever
+    a step didn't halve the interval."""
+    a, b = slope(lo), slope(hi)
+    for end, g, outward in ((lo, a, a >= 0), (hi, b, b <= 0)):
+        if outward:  # the least value of the interval is at this end, or the slope is 0 there
+            return Result(np.array([end]), f(end), 0, g == 0)
+    halve, k = False, 0
+    for k in range(1, most + 1):
+        width = hi - lo
+        x = (lo + hi) / 2 if halve else min(max(lo - a * width / (b - a), lo), hi)
+        if width <= tolerance * max(1.0, abs(x)):
+            return Result(np.array([x]), f(x), k, True)
+        g = slope(x)
+        if g == 0:
+            return Result(np.array([x]), f(x), k, True)
+        lo, hi, a, b = (lo, x, a, g) if g > 0 else (x, hi, g, b)
+        halve = not halve and hi - lo > width / 2
+    return Result(np.array([(lo + hi) / 2]), f((lo + hi) / 2), k, False)
+
+
 def line_minimize(f: Callable[[float], float], a: float, b: float, c: float, tolerance: float = 1e-10, most: int = 200, slope: Callable[[float], float] | None = None) -> Result:
     """Minimum in a bracket: parabolic steps, golden ones where they fail; with slope,
-    bisection of the derivative's sign."""
+    secant steps to the derivative's zero."""
     lo, hi = min(a, c), max(a, c)
     if slope is not None:
-        for k in range(most):
-            m = (lo + hi) / 2
-            if hi - lo <= tolerance * max(1.0, abs(m)):
-                break
-            lo, hi = (lo, m) if slope(m) > 0 else (m, hi)
-        return Result(np.array([(lo + hi) / 2]), f((lo + hi) / 2), k, True)
+        return _slope_zero(f, slope, lo, hi, tolerance, most)
     x = w = v = b
     fx = fw = fv = f(b)
     d = e = 0.0
