@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import fresh, map_text, small_batches
+from .arrow import as_bytes, fresh, map_text, small_batches
 from .storage import written
-from .wrappers import CONSTANT_PAGES, CONSTANT_SHARE, extract, learn, page_keys
+from .wrappers import CONSTANT_PAGES, CONSTANT_SHARE, Layout, extract, page_blocks, text_keys
 
-#: Pages of a host that its wrapper is inferred from at most.
-SAMPLE_PAGES = 8
-#: A sampled page is read up to so many characters for inference.
-SAMPLE_CHARS = 200_000
+#: Nodes, paths and constants of layouts that a task holds before it hands them on.
+HELD_NODES = 500_000
 #: Hosts up to which their numbers of pages are broadcast.
 BROADCAST_HOSTS = 100_000
 #: Characters of all wrappers up to which they are broadcast.
@@ -31,49 +29,86 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))), r"^www\.", "")
 
 
-def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON: region, constants of the sample, wrapper). pages: host, html.
+def page_reports(pages: DataFrame) -> DataFrame:
+    """One reading of all whole pages (host, html): for each page a row with its hash and
+    the keys of its texts, and for each host in each task rows with the layout of its
+    pages there. No page moves; layouts are small."""
 
-    Of each host's SAMPLE_PAGES hash classes, the page of the least hash: an
-    aggregation with partial results, so a host with most of the pages is no burden.
-    """
-    body = F.substring("html", 1, SAMPLE_CHARS)
-    order = F.xxhash64("html")
-    picked = pages.where(F.length("html") > 0).groupBy("host", F.pmod(F.xxhash64(F.lit("class"), "html"), F.lit(SAMPLE_PAGES)).alias("class")).agg(F.min_by(body, order).alias("html"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layouts: dict[str, Layout] = {}
+        held = 0
+
+        def handed_on():
+            names = list(layouts)
+            return _reports(names, [None] * len(names), [None] * len(names), [layouts[n].dumped() for n in names])
+
+        for b in batches:
+            hosts, keys = b.column(0).to_pylist(), []
+            for host, page in zip(hosts, as_bytes(b.column(2)), strict=True):
+                blocks = page_blocks(page.decode())
+                keys.append([None, *text_keys(blocks)])
+                mine, layout = Layout.of(blocks), layouts.get(host)
+                if layout is None:
+                    layouts[host] = layout = mine
+                else:
+                    held -= layout.size
+                    layout.add(mine)
+                held += layout.size
+                if held > HELD_NODES:
+                    yield handed_on()
+                    layouts.clear()
+                    held = 0
+            yield _reports(hosts, b.column(1), keys, [None] * len(hosts))
+        yield handed_on()
+
+    source = pages.where(F.length("html") > 0).select("host", F.xxhash64("html").alias("page"), "html")
+    return written(small_batches(source).mapInArrow(run, "host string, page long, keys array<long>, layout string"))
+
+
+def _reports(hosts, pages, keys, layouts) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.string()]
+    columns = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip((hosts, pages, keys, layouts), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["host", "page", "keys", "layout"])
+
+
+def host_regions(reports: DataFrame) -> DataFrame:
+    """host and region, by the wrapper of all its pages: the tasks' layouts are added,
+    SALTS parts of a host apart and then those."""
+    parts = reports.where(F.col("layout").isNotNull()).select("host", F.pmod(F.xxhash64("layout"), F.lit(SALTS)).alias("part"), "layout")
+    return _added(_added(parts, ["host", "part"], lambda x: x.dumped(), "layout").withColumn("part", F.lit(0)), ["host"], lambda x: x.region(), "region")
+
+
+def _added(parts: DataFrame, keys: list[str], finish: Callable[[Layout], str], name: str) -> DataFrame:
+    """host and finish(sum of the layouts) for each value of keys, one layout at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, held = None, []
+        at, host, total = None, None, None
 
         def made():
-            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(learn(held))], pa.string())], names=["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([finish(total)], pa.string())], names=["host", name])
 
         for b in batches:
-            for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if h != host:
-                    if held:
+            for h, part, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (h, part) != at:
+                    if total is not None:
                         yield made()
-                    host, held = h, []
-                held.append(page)
-        if held:
+                    at, host, total = (h, part), h, Layout.loaded(text)
+                else:
+                    total.add(Layout.loaded(text))
+        if total is not None:
             yield made()
 
-    dealt = picked.repartition("host").sortWithinPartitions("host", "class").select("host", "html")
-    return small_batches(dealt).mapInArrow(run, "host string, wrapper string")
+    dealt = parts.select("host", "part", "layout").repartition(*keys).sortWithinPartitions("host", "part", "layout")
+    return small_batches(dealt).mapInArrow(run, f"host string, {name} string")
 
 
-def host_constants(pages: DataFrame) -> DataFrame:
+def host_constants(reports: DataFrame) -> DataFrame:
     """host and constants: keys of the texts that stand on CONSTANT_SHARE of the host's
-    different pages and on CONSTANT_PAGES at least. pages: host, html.
+    different pages and on CONSTANT_PAGES at least.
 
-    Every page is read whole. Copies of a page count once; the null key counts pages.
+    Copies of a page count once; the null key counts pages.
     """
-
-    def make():
-        return lambda texts: [pa.array([[None, *page_keys(t.decode())] for t in texts], pa.list_(pa.int64()))]
-
-    named = pages.where(F.length("html") > 0).withColumn("page", F.xxhash64("html"))
-    keys = map_text(named, make, [("keys", T.ArrayType(T.LongType()))], "html", ["host", "page"])
-    once = keys.groupBy("host", "page").agg(F.first("keys").alias("keys"))
+    once = reports.where(F.col("layout").isNull()).groupBy("host", "page").agg(F.first("keys").alias("keys"))
     counts = written(once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= CONSTANT_PAGES))
     hosts = counts.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
     small = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
@@ -103,8 +138,9 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     host, found = fresh(pages, "__host"), fresh(pages, "__wrapper")
     named = pages.withColumn(host, host_of(F.col(f"`{url_col}`")))
     bodies = named.select(F.col(host).alias("host"), F.col(f"`{html_col}`").cast("string").alias("html"))
-    wrappers = host_wrappers(bodies).join(host_constants(bodies), "host", "left")
-    slim = written(wrappers.select(F.col("host").alias(host), _slim(F.col("wrapper"), F.col("constants")).alias(found)))
+    reports = page_reports(bodies)
+    known = host_regions(reports).join(host_constants(reports), "host", "left")
+    slim = written(known.select(F.col("host").alias(host), F.to_json(F.struct("region", F.coalesce("constants", F.array().cast("array<bigint>")).alias("constants"))).alias(found)))
     size = slim.agg(F.coalesce(F.sum(F.length(found)), F.lit(0))).first()[0]
     joined = _with_host(named, slim, host, html_col, size <= BROADCAST_CHARS, "left")
 
@@ -125,7 +161,3 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
 
     return map_text(joined.drop(host), make, [("text", T.StringType()), ("n_chars", T.LongType())], html_col, keep, [found])
 
-
-def _slim(wrapper: Column, constants: Column) -> Column:
-    """The region and the constants, without the node list, which extraction doesn't read."""
-    return F.to_json(F.struct(F.coalesce(F.get_json_object(wrapper, "$.region"), F.lit("")).alias("region"), F.coalesce(constants, F.array().cast("array<bigint>")).alias("constants")))

@@ -7,14 +7,15 @@ repeated group. What results is a wrapper: a sequence of tags, constant texts,
 slots, optional and repeated groups, without unions.
 
 A wrapper tells which tag paths hold the article (the region with most varying
-text outside of page furniture). Which texts are constant is counted over all pages
-of the host. Pages are then read whole with their host's wrapper.
+text outside of page furniture). It is made of all pages of the host, and which texts
+are constant is counted over all of them. Pages are then read whole with what it tells.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import math
 import re
 from collections import Counter
@@ -181,19 +182,39 @@ def raw_blocks(page: str) -> list[tuple[str, str, bool]]:
     return out
 
 
-def stream(page: str) -> list[tuple]:
-    """The page as alignable tokens ("t", path, text, furniture), without empty texts."""
-    return [("t", path, t, bad) for path, text, bad in raw_blocks(page) if (t := squeeze(text))]
+# A wrapper's nodes: ("const", path, key of the text, furniture), ("slot", path, furniture), ("opt", [nodes]), ("plus", [nodes]).
 
+#: Nodes that are aligned with as many at once, beyond the common beginning and end.
+BAND = 1000
 
-# A wrapper's nodes: ("const", path, text, bad), ("slot", path, bad), ("opt", [nodes]), ("plus", [nodes]).
 
+def shape_of(node: tuple) -> str:
+    if node[0] in ("opt", "plus"):
+        inner = [shape_of(n) for n in node[1]]
+        return inner[0] if len(inner) == 1 else "(" + " ".join(inner) + ")"
+    return node[1]
 
-def folded(nodes: list) -> list:
-    """Squares (the same shape twice or more in a row) become one repeated group."""
-    shape = lambda n: (n[0] if n[0] in ("opt", "plus") else "x", str([shape(m) for m in n[1]]) if n[0] in ("opt", "plus") else n[1])
+
+def slotted(node: tuple) -> tuple:
+    return ("slot", node[1], node[3]) if node[0] == "const" else node
+
+
+def leaves(node: tuple) -> list:
+    """Its constants and slots, as slots."""
+    return [x for n in node[1] for x in leaves(n)] if node[0] in ("opt", "plus") else [slotted(node)]
+
+
+def any_of(nodes: list) -> tuple:
+    """A repeated group of the nodes' different leaves, each optional."""
+    kinds = {x[1]: x for n in nodes for x in leaves(n)}
+    return ("plus", [("opt", [x]) for _, x in sorted(kinds.items())])
+
+
+def squares(nodes: list) -> list:
+    """Squares (the same shape twice or more in a row) become one repeated group. One
+    that holds groups becomes a group of their leaves, so groups don't nest."""
     out, i = [], 0
-    shapes = [shape(n) for n in nodes]
+    shapes = [f"{'x' if n[0] in ('const', 'slot') else n[0]} {shape_of(n)}" for n in nodes]
     while i < len(nodes):
         for width in (1, 2, 3, 4):
             k = 1
@@ -201,8 +222,11 @@ def folded(nodes: list) -> list:
                 k += 1
             if k > 1:
                 first = nodes[i : i + width]
-                same = all(nodes[i + j * width : i + (j + 1) * width] == first for j in range(k))
-                out.append(("plus", first if same else [slotted(n) for n in first]))
+                if any(n[0] in ("opt", "plus") for n in first):
+                    out.append(any_of(first))
+                else:
+                    same = all(nodes[i + j * width : i + (j + 1) * width] == first for j in range(k))
+                    out.append(("plus", first if same else [slotted(n) for n in first]))
                 i += k * width
                 break
         else:
@@ -211,27 +235,51 @@ def folded(nodes: list) -> list:
     return out
 
 
-def slotted(node: tuple) -> tuple:
-    return ("slot", node[1], node[3]) if node[0] == "const" else node
-
-
-def shape_of(node: tuple) -> str:
-    if node[0] in ("opt", "plus"):
-        inner = [shape_of(n) for n in node[1]]
-        return inner[0] if len(inner) == 1 else "(" + " ".join(inner) + ")"
-    return node[1]
+def gathered(nodes: list) -> list:
+    """A run of optional nodes in which a path returns becomes one repeated group. So a
+    wrapper can't grow with the number of pages: between two nodes that all pages have,
+    each path stands once."""
+    out, i = [], 0
+    while i < len(nodes):
+        j = i
+        while j < len(nodes) and (nodes[j][0] == "opt" or nodes[j][0] == "plus" and all(m[0] == "opt" for m in nodes[j][1])):
+            j += 1
+        paths = [x[1] for n in nodes[i:j] for x in leaves(n)]
+        if j > i + 1 and len(set(paths)) < len(paths):
+            out.append(any_of(nodes[i:j]))
+        else:
+            out += nodes[i : max(j, i + 1)]
+        i = max(j, i + 1)
+    return out
 
 
-def merge(wrapper: list, page: list) -> list:
-    """Aligns two sequences by shape. Equal texts stay, others become slots; what one
-    side lacks becomes optional; one against several becomes repeated."""
-    a, b = [shape_of(n) for n in wrapper], [shape_of(n) for n in page]
-    out: list = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [joined(x, y) for x, y in zip(wrapper[i:j], page[k:m], strict=True)]
-        else:
-            out += [x if x[0] == "opt" else ("opt", [x]) for x in (*wrapper[i:j], *page[k:m])]
+def folded(nodes: list) -> list:
+    """Squares and gathered runs, until there are no more."""
+    while len(less := gathered(squares(nodes))) < len(nodes):
+        nodes = less
+    return nodes
+
+
+def merge(wrapper: list, other: list) -> list:
+    """Aligns two wrappers (a page is one without slots) by shape. Equal texts stay,
+    others become slots; what one side lacks becomes optional; one against several
+    becomes repeated. Between the common beginning and end, BAND nodes of one are
+    aligned with BAND of the other at a time, so that the work grows with the length."""
+    a, b = [shape_of(n) for n in wrapper], [shape_of(n) for n in other]
+    least, head, tail = min(len(a), len(b)), 0, 0
+    while head < least and a[head] == b[head]:
+        head += 1
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = [joined(x, y) for x, y in zip(wrapper[:head], other[:head], strict=True)]
+    for at in range(head, max(len(a), len(b)) - tail, BAND):
+        u, v = wrapper[at : min(at + BAND, len(a) - tail)], other[at : min(at + BAND, len(b) - tail)]
+        for op, i, j, k, m in SequenceMatcher(None, [shape_of(n) for n in u], [shape_of(n) for n in v], autojunk=False).get_opcodes():
+            if op == "equal":
+                out += [joined(x, y) for x, y in zip(u[i:j], v[k:m], strict=True)]
+            else:
+                out += [x if x[0] == "opt" else ("opt", [x]) for x in (*u[i:j], *v[k:m])]
+    out += [joined(x, y) for x, y in zip(wrapper[len(a) - tail :], other[len(b) - tail :], strict=True)]
     return folded(out)
 
 
@@ -245,28 +293,74 @@ def joined(x: tuple, y: tuple) -> tuple:
     return x if x == y else slotted(x)
 
 
-def infer(pages: list[str], most_tokens: int = 4000) -> list:
-    """The wrapper of different pages of one host. Alignment reads the first
-    most_tokens blocks of a sampled page (extraction reads whole pages)."""
-    wrapper: list | None = None
-    for page in dict.fromkeys(pages):
-        nodes = folded([("const", path, text, bad) for _, path, text, bad in stream(page)[:most_tokens]])
-        wrapper = nodes if wrapper is None else merge(wrapper, nodes)
-    return wrapper or []
+def constant_places(nodes: list):
+    """(path, text's key) of the wrapper's constants outside furniture; what is optional isn't constant."""
+    for n in nodes:
+        if n[0] == "const" and not n[3]:
+            yield n[1], n[2]
+        elif n[0] == "plus":
+            yield from constant_places(n[1])
 
 
-def region_of(streams: list[list[tuple]]) -> str:
-    """The path under which the article is: an <article> or <main> that holds a quarter
-    of the text outside furniture, else the deepest element with three quarters of it."""
-    mass: Counter = Counter()
-    total = 0
-    for s in streams:
-        for _, path, text, bad in s:
+class Layout:
+    """What some pages of a host have in common: their wrapper, the characters outside
+    furniture under each path, and how many of them are in each constant of the wrapper.
+
+    Layouts add up: tasks make one of their pages each, and those are added in turn.
+    """
+
+    __slots__ = ("held", "mass", "nodes")
+
+    def __init__(self, nodes: list, mass: Counter, held: Counter):
+        self.nodes, self.mass, self.held = nodes, mass, held
+
+    @staticmethod
+    def of(blocks: list[tuple]) -> Layout:
+        """Of one page. blocks: (path, text, text's key, furniture)."""
+        mass, held = Counter(), Counter()
+        for path, text, key, bad in blocks:
             if not bad:
-                total += len(text)
-                parts = path.split("/")
-                for k in range(2, len(parts) + 1):
-                    mass["/".join(parts[:k])] += len(text)
+                mass[path] += len(text)
+                held[path, key] += len(text)
+        return Layout(folded([("const", path, key, bad) for path, _, key, bad in blocks]), mass, held)
+
+    def add(self, other: Layout) -> None:
+        self.nodes = merge(self.nodes, other.nodes)
+        self.mass.update(other.mass)
+        places = set(constant_places(self.nodes))
+        self.held = Counter({k: self.held[k] + other.held[k] for k in places})
+
+    @property
+    def size(self) -> int:
+        return len(self.nodes) + len(self.mass) + len(self.held)
+
+    def region(self) -> str:
+        """That of the texts in slots and optional groups; of all texts if none vary."""
+        vary = Counter(self.mass)
+        for path, key in set(constant_places(self.nodes)):
+            vary[path] -= self.held[path, key]
+        return region_of(+vary) or region_of(self.mass)
+
+    def dumped(self) -> str:
+        return json.dumps([self.nodes, sorted(self.mass.items()), sorted((p, k, n) for (p, k), n in self.held.items())])
+
+    @staticmethod
+    def loaded(text: str) -> Layout:
+        thaw = lambda n: (n[0], [thaw(m) for m in n[1]]) if n[0] in ("opt", "plus") else tuple(n)
+        nodes, mass, held = json.loads(text)
+        return Layout([thaw(n) for n in nodes], Counter(dict(mass)), Counter({(p, k): n for p, k, n in held}))
+
+
+def region_of(texts: dict[str, int]) -> str:
+    """The path under which the article is, from the characters of text outside
+    furniture under each: an <article> or <main> that holds a quarter of it, else the
+    deepest element with three quarters of it."""
+    mass: Counter = Counter()
+    total = sum(texts.values())
+    for path, n in texts.items():
+        parts = path.split("/")
+        for k in range(2, len(parts) + 1):
+            mass["/".join(parts[:k])] += n
     named = [p for p in mass if p.rsplit("/", 1)[1] in REGION_TAGS and 4 * mass[p] >= total]
     if named:
         return min(named, key=lambda p: (-mass[p], p.rsplit("/", 1)[1] != "article", -p.count("/"), p))
@@ -279,39 +373,29 @@ def block_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def page_keys(page: str | None) -> list[int]:
-    """The keys of a whole page's different texts outside furniture."""
-    texts = {squeeze(text) for _, text, bad in raw_blocks(page) if not bad} if page else ()
-    return [block_key(t) for t in texts if t]
+def page_blocks(page: str) -> list[tuple]:
+    """(path, text, text's key, furniture) of a whole page's blocks that aren't empty."""
+    return [(path, t, block_key(t), bad) for path, text, bad in raw_blocks(page) if (t := squeeze(text))]
 
 
-def constant_keys(pages: list[str]) -> list[int]:
-    """Keys of the texts that stand on nearly all of the different pages."""
-    kept = list(dict.fromkeys(pages))
-    n = Counter(k for p in kept for k in page_keys(p))
-    least = max(CONSTANT_PAGES, math.ceil(CONSTANT_SHARE * len(kept)))
-    return sorted(k for k, x in n.items() if x >= least)
-
-
-def constant_places(nodes: list):
-    """(path, text) of the wrapper's constants; what is optional isn't constant."""
-    for n in nodes:
-        if n[0] == "const":
-            yield n[1], n[2]
-        elif n[0] == "plus":
-            yield from constant_places(n[1])
+def text_keys(blocks: list[tuple]) -> list[int]:
+    """The keys of the different texts outside furniture."""
+    return list(dict.fromkeys(key for _, _, key, bad in blocks if not bad))
 
 
 def learn(pages: list[str]) -> dict:
-    """The wrapper of different pages of one host, the region of the texts in its
-    slots and optional groups (of all texts if none vary), and the keys of the texts
-    on nearly all of these pages."""
-    kept = list(dict.fromkeys(pages))
-    streams = [stream(p) for p in kept]
-    wrapper = infer(kept)
-    held = set(constant_places(wrapper)) if len(kept) > 1 else set()
-    region = region_of([[x for x in s if (x[1], x[2]) not in held] for s in streams]) or region_of(streams)
-    return {"region": region, "constants": constant_keys(kept), "wrapper": wrapper}
+    """What extract() needs to know of a host, from all its pages: the region of the
+    article, and the keys of the texts on nearly all of the different pages."""
+    layout, counts, kept = None, Counter(), list(dict.fromkeys(pages))
+    for page in kept:
+        blocks = page_blocks(page)
+        counts.update(text_keys(blocks))
+        if layout is None:
+            layout = Layout.of(blocks)
+        else:
+            layout.add(Layout.of(blocks))
+    least = max(CONSTANT_PAGES, math.ceil(CONSTANT_SHARE * len(kept)))
+    return {"region": layout.region() if layout else "", "constants": sorted(k for k, n in counts.items() if n >= least), "wrapper": layout.nodes if layout else []}
 
 
 def under(path: str, region: str) -> bool:
@@ -326,7 +410,11 @@ def extract(page: str | None, known: dict | None) -> str:
     blocks = raw_blocks(page)
     region = known["region"] if known else ""
     if not region or not any(not bad and under(path, region) and text.strip() for path, text, bad in blocks):
-        region = region_of([[("t", path, text, bad) for path, text, bad in blocks if not bad and text.strip()]])
+        mass: Counter = Counter()
+        for path, text, bad in blocks:
+            if not bad and text.strip():
+                mass[path] += len(text)
+        region = region_of(mass)
     fixed = set(known["constants"]) if known else ()
     texts = (squeeze(text) for path, text, bad in blocks if not bad and under(path, region))
     return " ".join(t for t in texts if t and not (fixed and block_key(t) in fixed))

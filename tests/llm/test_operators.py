@@ -124,6 +124,33 @@ def test_alignment_chooses_region_and_constants(spark):
     assert all(got[i] == wrappers.extract(p, known) == f"Title {i} article text {i} " + "more words " * 5 + f"end {i}" for i, p in enumerate(pages))
 
 
+def test_wrapper_of_all_pages():
+    """Layouts add up in any cut, read pages of any length and don't grow with their number."""
+    rng = random.Random(4)
+
+    def page(i):
+        body = "".join(f"<{t}>{t} {i} {k}</{t}>" for k, t in enumerate(rng.choices(["p", "h2", "h3", "blockquote", "pre"], k=rng.randrange(2, 40))))
+        return f"<body><div><p>menu of the site {'word ' * 30}</p></div><section><h1>T {i}</h1>{body}</section><div><p>legal</p></div></body>"
+
+    pages = [wrappers.page_blocks(page(i)) for i in range(300)]
+
+    def total(some):
+        out = wrappers.Layout.of(some[0])
+        for p in some[1:]:
+            out.add(wrappers.Layout.of(p))
+        return out
+
+    whole, half = total(pages), total(pages[:150])
+    assert whole.region().endswith("/section") and len(whole.nodes) < 60 and whole.size <= half.size + 20
+    parts = [wrappers.Layout.loaded(total(pages[i::7]).dumped()) for i in range(7)]
+    for p in parts[1:]:
+        parts[0].add(p)
+    assert parts[0].region() == whole.region() and parts[0].mass == whole.mass and parts[0].held == whole.held
+    long = wrappers.page_blocks("<body><article>" + "".join(f"<{t}>x {k}</{t}>" for k, t in enumerate(rng.choices(["p", "h2", "pre", "ul"], k=20_000))) + "</article></body>")
+    layout = total([long, long[::-1], pages[0]])
+    assert layout.region().endswith("/article") and sum(layout.mass.values()) == sum(len(t) for p in (long, long, pages[0]) for _, t, _, bad in p if not bad)
+
+
 # 2
 
 
