@@ -13,6 +13,9 @@ from ..plans.session import checkpoint_dir
 
 NAN = float("nan")
 
+#: Positions that acf() deals to one place.
+RUN = 1 << 16
+
 
 def positions(df: DataFrame, order: list, keys: list[str] | None = None, name: str = "pos") -> DataFrame:
     """0-based positions. With keys a window in each series. Without, a range sort
@@ -52,17 +55,20 @@ def standardize(df: DataFrame, x: str, keys: list[str] | None = None, population
 def acf(df: DataFrame, x: str, pos: str, lags: int, keys: list[str] | None = None) -> DataFrame:
     """lag and r for lags 0..lags: the biased estimator, NaN for a constant series.
 
-    Lagged products come from an equi-join on (key, pos) of the series with its
-    shifted self: partitions by position, so one long series is spread out.
+    Positions are dealt in runs of RUN, each with the first rows of the next one, so
+    rows move once whatever the number of lags, and a long series is spread out.
     """
     keys = keys or []
+    run = max(RUN, lags + 1)
     mean = df.groupBy(*keys).agg(F.avg(x).alias("__m"))
-    d = (df.join(mean, keys) if keys else df.crossJoin(F.broadcast(mean))).select(*keys, F.col(pos).alias("__p"), (F.col(x) - F.col("__m")).alias("__d"))
-    shifted = d.select(*keys, F.col("__d").alias("__e"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), F.col("__p").alias("__q")).withColumn("__p", F.col("__q") + F.col("lag"))
-    products = d.join(shifted, [*keys, "__p"]).groupBy(*keys, "lag").agg(F.sum(F.col("__d") * F.col("__e")).alias("__c"))
-    zero = products.where("lag = 0").select(*keys, F.col("__c").alias("__c0"))
-    joined = products.join(zero, keys) if keys else products.crossJoin(F.broadcast(zero))
-    return joined.select(*keys, "lag", F.coalesce(F.try_divide("__c", "__c0"), F.lit(NAN)).alias("r"))
+    place = F.col(pos).cast("long")
+    d = (df.join(mean, keys) if keys else df.crossJoin(F.broadcast(mean))).select(*keys, place.alias("__p"), (F.col(x) - F.col("__m")).alias("__d"), F.pmod(place, F.lit(run)).alias("__at"))
+    first = ((F.col("__p") - F.col("__at")) / run).cast("long")
+    dealt = d.withColumn("__own", first).withColumn("__run", F.explode(F.when(F.col("__at") < lags, F.array(first, first - 1)).otherwise(F.array(first))))
+    along = Window.partitionBy(*keys, "__run").orderBy("__p")
+    products = dealt.select(*keys, "__p", "__own", "__run", *[(F.col("__d") * F.sum("__d").over(along.rangeBetween(k, k))).alias(f"__c{k}") for k in range(lags + 1)])
+    sums = products.where("__own = __run").groupBy(*keys).agg(F.array(*[F.sum(f"__c{k}") for k in range(lags + 1)]).alias("__c"), (F.max("__p") - F.min("__p")).alias("__most"))
+    return sums.select(*keys, "__c", "__most", F.posexplode("__c").alias("lag", "__l")).where(F.col("lag") <= F.col("__most")).select(*keys, "lag", F.coalesce(F.try_divide("__l", F.col("__c")[0]), F.lit(NAN)).alias("r"))
 
 
 def durbin_levinson(r: np.ndarray) -> np.ndarray:
@@ -104,24 +110,37 @@ def is_significant(v: Column, n: Column) -> Column:
     return F.abs(v) > acf_bound(n)
 
 
-def as_of(queries: DataFrame, knots: DataFrame, x: str, knot: str, payload: list[str], slices: int = 64) -> DataFrame:
+def as_of(queries: DataFrame, knots: DataFrame, x: str, knot: str, payload: list[str], slices: int | None = None) -> DataFrame:
     """queries with the payload of the greatest knot <= x (the last but one knot's
-    for x at the last one is the caller's affair); null below the first.
-
-    Knots and queries are dealt into slices by quantiles of the knots; a window in
-    each slice carries the last knot along, and a slice begins with the knot before
-    it, found among the slices' last knots: a row for each slice.
+    for x at the last one is the caller's affair); null below the first. Of equal
+    knots the one with the greatest payload counts.
+
+    Knots and queries are dealt into slices (as many as shuffle partitions, 64 at
+    least) by quantiles of both; a window in each slice carries the last knot along,
+    and a slice begins with the knot before it, found among the slices' last knots: a
+    row for each slice. A value that fills several slices has as many parts, by hash
+    of the query, each with the knots of its slice.
     """
-    edges = knots.agg(F.percentile_approx(knot, F.array(*[F.lit((i + 1) / slices) for i in range(slices - 1)]), 1000).alias("e"))
-    tag = lambda df, c: df.crossJoin(F.broadcast(edges)).withColumn("__slice", F.size(F.filter(F.coalesce(F.col("e"), F.array().cast("array<double>")), lambda v: v.cast("double") <= c))).drop("e")
-    held = F.struct(F.col(knot).alias("__k"), *[F.col(p) for p in payload])
-    k = tag(knots.withColumn("__x", F.col(knot).cast("double")), F.col("__x")).select("__slice", "__x", F.lit(0).alias("__o"), held.alias("__held"))
-    q = tag(queries.withColumn("__x", F.col(x).cast("double")), F.col("__x")).select("__slice", "__x", F.lit(1).alias("__o"), *[F.col(c).alias(f"__q_{c}") for c in queries.columns])
+    slices = slices or max(64, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    number = lambda df, c: df.select(F.col(c).cast("double").alias("__x"))
+    edges = number(queries, x).unionAll(number(knots, knot)).agg(F.percentile_approx("__x", F.array(*[F.lit((i + 1) / slices) for i in range(slices - 1)]), max(1000, 20 * slices)).alias("e"))
+    e = F.coalesce(F.col("e"), F.array().cast("array<double>"))
+
+    def tag(df, c):
+        """__slice, and __parts: as many as edges that are the slice's beginning."""
+        sliced = df.withColumn("__x", F.col(c).cast("double")).crossJoin(F.broadcast(edges)).withColumn("__slice", F.size(F.filter(e, lambda v: v <= F.col("__x"))))
+        return sliced.withColumn("__parts", F.greatest(F.size(F.filter(e, lambda v: v == F.get(F.col("e"), F.col("__slice") - 1))), F.lit(1))).drop("e")
+
+    single = knots.groupBy(knot).agg(F.max(F.struct(*payload)).alias("__p"))
+    held = F.struct(F.col(knot).alias("__k"), *[F.col(f"__p.{p}").alias(p) for p in payload])
+    k = tag(single, knot).select("__slice", "__parts", "__x", F.lit(0).alias("__o"), held.alias("__held"))
+    q = tag(queries, x).select("__slice", F.pmod(F.xxhash64(*[F.col(c) for c in queries.columns]), F.col("__parts")).cast("int").alias("__part"), "__x", F.lit(1).alias("__o"), *[F.col(c).alias(f"__q_{c}") for c in queries.columns])
     ends = k.groupBy("__slice").agg(F.max_by("__held", "__x").alias("__held"))
     full = q.sparkSession.range(slices).select(F.col("id").cast("int").alias("__slice")).join(ends, "__slice", "left")
     before = full.select("__slice", F.last("__held", ignorenulls=True).over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)).alias("__first"))
-    both = k.unionByName(q, allowMissingColumns=True)
-    along = Window.partitionBy("__slice").orderBy("__x", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everywhere = k.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    both = everywhere.unionByName(q, allowMissingColumns=True)
+    along = Window.partitionBy("__slice", "__part").orderBy("__x", "__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("__held", F.last("__held", ignorenulls=True).over(along)).where("__o = 1").join(F.broadcast(before), "__slice", "left")
     got = found.withColumn("__held", F.coalesce("__held", "__first"))
     return got.select(*[F.col(f"__q_{c}").alias(c) for c in queries.columns], F.col("__held.__k").alias(f"{knot}_found"), *[F.col(f"__held.{p}").alias(p) for p in payload])

@@ -428,3 +428,32 @@ def test_quartiles_between_percentiles(spark, monkeypatch, least):
         h = max(1, len(vs) // 2)
         assert (got[k].n, got[k].lower_quartile, got[k].median, got[k].upper_quartile, got[k].low, got[k].high) == (len(vs), mid(vs[:h]), mid(vs), mid(vs[-h:]), vs[0], vs[-1])
     assert stats.halves_quartiles(d.where("k = 'a'"), [], "x").first().median == got["a"].median
+
+
+def test_acf_over_many_runs(spark, monkeypatch):
+    """Cuts of the series, missing positions and keys don't matter; rows move once."""
+    monkeypatch.setattr(series, "RUN", 8)
+    rng = np.random.default_rng(2)
+    x = {k: rng.normal(size=n) for k, n in (("a", 50), ("b", 3), ("c", 17))}
+    rows = [(k, p, float(v)) for k, xs in x.items() for p, v in enumerate(xs) if (k, p) != ("a", 20)]
+    got = {(r.k, r.lag): r.r for r in series.acf(spark.createDataFrame(rows, "k string, p long, x double"), "x", "p", 5, ["k"]).collect()}
+    for k in x:
+        held = {p: v for kk, p, v in rows if kk == k}
+        mean = sum(held.values()) / len(held)
+        sums = [sum((v - mean) * (held[p + lag] - mean) for p, v in held.items() if p + lag in held) for lag in range(min(6, len(x[k])))]
+        assert [got[k, lag] for lag in range(len(sums))] == pytest.approx([s / sums[0] for s in sums])
+        assert (k, len(sums)) not in got
+    assert series.acf(spark.createDataFrame([], "p long, x double"), "x", "p", 2).count() == 0
+
+
+def test_as_of_of_a_frequent_value(spark):
+    """Queries that share a value are dealt into parts, each with its knots."""
+    rng = np.random.default_rng(3)
+    values = [5.0] * 400 + [float(v) for v in rng.normal(scale=10, size=400)] + [None]
+    knots = sorted({round(float(v), 2) for v in rng.normal(scale=8, size=60)} | {5.0})
+    k = spark.createDataFrame([(v, i) for i, v in enumerate(knots)] + [(5.0, -1)], "knot double, payload int")
+    got = series.as_of(spark.createDataFrame(list(enumerate(values)), "id int, x double"), k, "x", "knot", ["payload"], 16).collect()
+    assert len(got) == len(values)
+    for r in got:
+        below = [i for i, v in enumerate(knots) if r.x is not None and v <= r.x]
+        assert (r.payload, r.knot_found) == ((below[-1], knots[below[-1]]) if below else (None, None))
