@@ -165,7 +165,12 @@ def project_simplex(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_simplex(F.slice(F.col("a"), 1, 8))).alias("simplex"))
 
 
-@query()
+L1 = """, d AS (SELECT vec_id, a[1:8] AS a, list_reverse(list_sort(list_transform(a[1:8], lambda x: abs(x)))) AS d FROM v),
+t AS (SELECT vec_id, a, list_sum(d) AS n, list_last(list_filter(list_transform(range(1, 9), lambda k: CASE WHEN d[k] - (list_sum(d[1:k]) - 0.5) / k > 0 THEN (list_sum(d[1:k]) - 0.5) / k END), lambda x: x IS NOT NULL)) AS t FROM d)
+"""
+
+
+@query(V + L1 + f"SELECT vec_id, {sql_list('list_transform(a, lambda x: CASE WHEN n <= 0.5 THEN x ELSE greatest(abs(x) - t, 0) * sign(x) END)')} AS ball FROM t")
 def project_l1_ball(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", round_list(arrays.project_l1_ball(F.slice(F.col("a"), 1, 8), 0.5)).alias("ball"))
 

@@ -137,7 +137,42 @@ def mixer(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", bits.column("stafford_mix13")(F.col("o_orderkey")).alias("mixed"))
 
 
-@query()
+def _mixers_sql() -> str:
+    """Every mixer step by step: ("x", shifts) xors v with v shifted, ("r", turns) with v
+    turned, "c" xors a constant, "m" multiplies modulo 2^64."""
+    b = bits
+    rounds = {n: [("x", s1), ("m", f1), ("x", s2), ("m", f2), ("x", s3)] for n, s1, f1, s2, f2, s3 in (("stafford_mix13", 30, b.STAFFORD_13A, 27, b.STAFFORD_13B, 31), ("lea_mix64", 32, b.LEA_64, 32, b.LEA_64, 32), ("appleby_mix64", 33, b.APPLEBY_A, 33, b.APPLEBY_B, 33))}
+    steps = rounds | {
+        "rrmxmx": [("r", 49, 24), ("m", b.EVENSEN_A), ("x", 28), ("m", b.EVENSEN_A), ("x", 28)],
+        "rrxmrrxmsx": [("r", 25, 50), ("m", b.EVENSEN_B), ("r", 24, 49), ("m", b.EVENSEN_A), ("x", 28)],
+        "xnasam": [("c", b.ROOT_TWO), ("r", 25, 47), ("m", b.NASAM_A), ("x", 23, 51), ("m", b.NASAM_B), ("x", 23, 51)],
+        "pelican": [("r", 23, 47), ("c", b.PELICAN_X), ("m", b.PELICAN_A), ("x", 43, 31, 23), ("m", b.PELICAN_B), ("x", 28)],
+        "stafford_mix04": [("x", 33), ("m", b.STAFFORD_4A), ("x", 28), ("m", b.STAFFORD_4B)],
+    }
+    turn = lambda v, k: f"xor({v} >> {k}, (({v}::UHUGEINT * {2 ** (64 - k)}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
+    halves = lambda v: f"(xor({v}, {v} >> 16) * {b.LEA_32}::UBIGINT) % 4294967296::UBIGINT"
+    last, outer, levels = dict.fromkeys(steps, "v") | {"lea_mix32": "l"}, [], []
+    for at in range(max(map(len, steps.values()))):  # a table for each step: DuckDB would write an alias out anew wherever it stands
+        level = {n: v for n, v in last.items() if v != "v"}
+        for name, made in steps.items():
+            v = last[name]
+            if at < len(made):
+                kind, *args = made[at]
+                e = v
+                for a in args:
+                    e = f"(({v}::UHUGEINT * {a}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT" if kind == "m" else f"xor({e}, {v} >> {a})" if kind == "x" else f"xor({e}, {turn(v, a)})" if kind == "r" else f"xor({e}, {a}::UBIGINT)"
+                level[name] = e
+        level["lea_mix32"] = halves(last["lea_mix32"]) if at < 2 else f"xor({last['lea_mix32']}, {last['lea_mix32']} >> 16)" if at == 2 else last["lea_mix32"]
+        columns = ", ".join(f"{e} AS {n}" for n, e in level.items())
+        levels.append(f"s{at + 1} AS MATERIALIZED (SELECT o_orderkey, v, {columns} FROM s{at})")
+        last = {n: n if n in level else "v" for n in last}
+    signed = lambda v, bits_: f"CASE WHEN {v} >= {2 ** (bits_ - 1)} THEN ({v})::HUGEINT - {2 ** bits_} ELSE ({v})::HUGEINT END"
+    for name in last:
+        outer.append(f"CAST({signed('(stafford_mix04 >> 32)' if name == 'stafford_mix04' else name, 32)} AS INT) AS {name}" if name in b.FOLDS else f"CAST({signed(name, 64)} AS BIGINT) AS {name}")
+    return f"WITH s0 AS MATERIALIZED (SELECT o_orderkey, CAST(o_orderkey AS UBIGINT) AS v, CAST(o_orderkey AS UBIGINT) % 4294967296::UBIGINT AS l FROM orders), {', '.join(levels)} SELECT o_orderkey, {', '.join(outer)} FROM s{len(levels)}"
+
+
+@query(_mixers_sql())
 def mixers(spark, sf_dir):
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", *[bits.column(n)(k).alias(n) for n in (*bits.MIXERS, *bits.FOLDS)])

@@ -210,9 +210,20 @@ def acf_significance(spark, sf_dir):
     return series.acf(s, "v", "pos", 7).crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n")))).select("lag", rounded(series.acf_bound(F.col("n"))).alias("bound"), series.is_significant(F.col("r"), F.col("n")).alias("significant"))
 
 
-@query()
+def _levinson_sql(lags: int) -> str:
+    """The recursion unrolled, a table for each step: partial autocorrelation k as a<k>, from c[1 + lag]."""
+    out, phi = ["p0 AS MATERIALIZED (SELECT c, 1.0::DOUBLE AS e0 FROM c)"], []
+    for k in range(1, lags + 1):
+        out.append(f"q{k} AS MATERIALIZED (SELECT *, (c[{k + 1}] - ({' + '.join([f'{p} * c[{k - j}]' for j, p in enumerate(phi)] or ['0'])})) / e{k - 1} AS a{k} FROM p{k - 1})")
+        less = "".join(f", {p} - a{k} * {phi[k - 2 - j]} AS p{k}_{j}" for j, p in enumerate(phi))
+        out.append(f"p{k} AS MATERIALIZED (SELECT *{less}, e{k - 1} * (1 - a{k} * a{k}) AS e{k} FROM q{k})")
+        phi = [f"p{k}_{j}" for j in range(k - 1)] + [f"a{k}"]
+    return ", ".join(out)
+
+
+@query(HOURLY + f", c AS (SELECT list(r ORDER BY lag) AS c FROM r), {_levinson_sql(7)} SELECT CAST(unnest(range(0, 8)) AS INT) AS lag, round(unnest([1.0, {', '.join(f'a{k}' for k in range(1, 8))}]), 6) AS partial FROM p7")
 def pacf_hourly(spark, sf_dir):
-    return series.pacf(hourly(spark, sf_dir), "v", "pos", 7)
+    return series.pacf(hourly(spark, sf_dir), "v", "pos", 7).withColumn("partial", rounded(F.col("partial")))
 
 
 @query("SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_mktsegment)) / stddev_samp(c_acctbal) OVER (PARTITION BY c_mktsegment), 6) AS z FROM customer")
