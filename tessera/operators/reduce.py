@@ -70,11 +70,14 @@ def pca(df: DataFrame, vector: str, dimension: int, k: int) -> Components:
 
 
 def truncated_pca(df: DataFrame, vector: str, dimension: int, k: int, oversampling: int = 6, iterations: int = 30, tolerance: float = 1e-9, seed: int = 0, fixed: bool = False) -> Components:
-    """Randomised block iteration. A round is one pass: tasks add up X^T (X Q)."""
+    """Randomised block iteration. A round is one pass: tasks add up X^T (X Q). The
+    blocks of all rounds are kept (dimension x width numbers each) and the components
+    sought among all their combinations, so few passes do; it ends, if not before, when
+    nothing new is left."""
     n, mean = _mean(df, vector, dimension)
     width = min(dimension, k + oversampling)
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, width)))
-    last = None
+    basis, image, last = np.zeros((dimension, 0)), np.zeros((dimension, 0)), None
     for _ in range(iterations):
         held = df.sparkSession.sparkContext.broadcast(q)
 
@@ -82,14 +85,21 @@ def truncated_pca(df: DataFrame, vector: str, dimension: int, k: int, oversampli
             x = vectors(b.column(0), dimension) - mean
             return x.T @ (x @ held.value)
 
-        z = summed(df, [vector], dimension * width, part)
-        z = z.reshape(dimension, width)
-        w, u = np.linalg.eigh(q.T @ z)
-        values, ritz = w[::-1][:k], (q @ u[:, ::-1])[:, :k]
+        z = summed(df, [vector], dimension * q.shape[1], part).reshape(dimension, q.shape[1])
+        held.destroy()
+        basis, image = np.hstack([basis, q]), np.hstack([image, z])
+        inner = basis.T @ image
+        w, u = np.linalg.eigh((inner + inner.T) / 2)
+        values, ritz = w[::-1][:k], (basis @ u[:, ::-1])[:, :k]
         if not fixed and last is not None and np.abs(values - last).max() <= tolerance * max(1e-300, abs(values[0])):
             break
         last = values
-        q, _ = np.linalg.qr(z)
+        fresh = z - basis @ (basis.T @ z)
+        directions, size, _ = np.linalg.svd(fresh, full_matrices=False)
+        q = directions[:, size > 1e-13 * np.linalg.norm(z)][:, : dimension - basis.shape[1]]
+        if not q.shape[1]:
+            break
+        q, _ = np.linalg.qr(q - basis @ (basis.T @ q))
     _, cov_diag = n, df.agg(*[F.var_samp(F.col(vector)[i].cast("double")).alias(f"v{i}") for i in range(dimension)]).first()
     return Components(mean, fix_signs(ritz), np.maximum(values, 0) / max(1, n - 1), float(sum(cov_diag)))
 

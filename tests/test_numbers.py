@@ -457,3 +457,14 @@ def test_as_of_of_a_frequent_value(spark):
     for r in got:
         below = [i for i, v in enumerate(knots) if r.x is not None and v <= r.x]
         assert (r.payload, r.knot_found) == ((below[-1], knots[below[-1]]) if below else (None, None))
+
+
+def test_block_iteration_reaches_the_components(spark):
+    """Also with a slowly falling spectrum, fewer ranks than the width and one component."""
+    rng = np.random.default_rng(5)
+    for rank, dimension, k in ((30, 30, 4), (3, 12, 3), (1, 5, 1)):
+        x = rng.normal(size=(200, rank)) * np.linspace(1, 0.8, rank) @ np.linalg.qr(rng.normal(size=(dimension, dimension)))[0][:rank] + 3
+        made = reduce.truncated_pca(spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3), "x", dimension, k, oversampling=2)
+        w, v = np.linalg.eigh(np.cov(x.T))
+        assert np.allclose(made.variance, w[::-1][:k], rtol=1e-8) and made.total == pytest.approx(w.sum())
+        assert np.allclose(np.abs((made.vectors * v[:, ::-1][:, :k]).sum(0)), 1, atol=1e-4)
