@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .catalogue import query, round_list, rounded, sql_list, table
 from .functions import activation, arrays
-from .operators import matrix
+from .operators import matrix, stats
 from .sources import grids
 
 
@@ -113,6 +114,14 @@ def sampled_class(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", arrays.sample_class(arrays.softmax(F.col("a")), F.rand(3)).alias("class"))
 
 
+@query(V + "SELECT vec_id, round(list_median(list_transform(a, lambda x: abs(x - list_median(a)))), 6) AS spread, round(list_avg(list_sort(a)[7:58]), 6) AS trimmed FROM v")
+def sample_statistics(spark, sf_dir):
+    """Functions of a sample that a caller writes: median deviation from the median, mean without the 6 least and greatest."""
+    spread = stats.statistic(lambda x: np.median(np.abs(x - np.median(x))))
+    trimmed = stats.statistic(lambda x: np.sort(x)[6:-6].mean())
+    return vectors(spark, sf_dir).select("vec_id", rounded(spread(F.col("a"))).alias("spread"), rounded(trimmed(F.col("a"))).alias("trimmed"))
+
+
 def _act(x: str) -> dict[str, str]:
     inner = f"(sqrt(2 / pi()) * ({x} + 0.044715 * {x} * {x} * {x}))"
     sig = f"(1 / (1 + exp(-{x})))"

@@ -7,6 +7,10 @@ neither half) and are found by rank selection, not by collecting a group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,3 +196,14 @@ def multi_class_accuracy(df: DataFrame, predicted: Column, actual: Column) -> Da
     from ..functions.arrays import same_arg_max
 
     return df.agg(F.coalesce(F.round(F.avg(same_arg_max(predicted, actual).cast("double")), 4), F.lit(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def statistic(f: Callable[[np.ndarray], float]) -> Callable[[Column], Column]:
+    """A caller's function of a sample as a column function of array<double>, in Arrow
+    batches. Null arrays give null, null entries are left out."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else float(f(np.asarray(x, dtype=float))) for x in a], dtype="Float64")
+
+    return lambda a: run(F.filter(a.cast("array<double>"), lambda x: x.isNotNull()))

@@ -468,3 +468,9 @@ def test_block_iteration_reaches_the_components(spark):
         w, v = np.linalg.eigh(np.cov(x.T))
         assert np.allclose(made.variance, w[::-1][:k], rtol=1e-8) and made.total == pytest.approx(w.sum())
         assert np.allclose(np.abs((made.vectors * v[:, ::-1][:, :k]).sum(0)), 1, atol=1e-4)
+
+
+def test_statistic_of_odd_samples(spark):
+    d = spark.createDataFrame([(0, [1.0, None, 3.0]), (1, None), (2, []), (3, [NAN])], "i int, a array<double>")
+    got = {r.i: r.s for r in d.select("i", stats.statistic(lambda x: float(len(x)))(F.col("a")).alias("s")).collect()}
+    assert got == {0: 2.0, 1: None, 2: 0.0, 3: 1.0}
