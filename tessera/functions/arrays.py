@@ -173,6 +173,11 @@ def sanitize_all(a: Column, nan=0.0, pos_inf=0.0, neg_inf=0.0) -> Column:
     return F.transform(a, lambda x: sanitize(x, nan, pos_inf, neg_inf))
 
 
+def round_signed(x: Column, places: int) -> Column:
+    """x rounded half away from zero; what rounds to zero keeps its sign, as in C."""
+    return F.signum(x) * F.round(F.abs(x), places)
+
+
 def approx_equal(a: Column, b: Column, rel: float = 1e-8, absolute: float = 0.0) -> Column:
     """Equal sizes, and each pair within rel of the larger or within absolute."""
     near = lambda x, y: ~F.isnan(x) & ~F.isnan(y) & ((x == y) | (F.abs(x - y) <= F.greatest(F.abs(x), F.abs(y)) * rel) | (F.abs(x - y) <= absolute)) & (F.abs(x - y) != INF)

@@ -41,6 +41,17 @@ def test_query(spark, duck, sf_dir, name):
         assert len(got) > 0
 
 
+def test_list_text_of_odd_rows(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    lists = [[-3.4e-6, 0.0], [-0.0, -1.0], [-4.9e-6, -5.1e-6], [], None, [None, 1.5], [None, None], [nan, inf], [-inf, 2.5], [7.25], [3.4e38, 1e-30], [0.015625, -0.015625], [123456792.0, 1e13]]
+    spark.createDataFrame(list(enumerate(lists)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(c.execute(catalogue.ORACLES["list_text"]).fetchall())
+    assert len(want) == len(lists)
+    assert sorted(map(tuple, catalogue.QUERIES["list_text"](spark, str(tmp_path)).select("vec_id", "text").collect())) == want
+
+
 def test_names_agree():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
 
