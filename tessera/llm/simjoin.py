@@ -41,6 +41,14 @@ TASK_COUNT, HOT_COUNT = 8, 32
 #: Parity bits for each difference that a link may have: of all nodes, and of those that
 #: have a partner by these; and the least number of them.
 PARITY, PARITY_FINE, PARITY_LEAST = 3, 32, 64
+#: Bytes of parity bits at most that go with each entry of a list, first and then with
+#: those that have a partner: a long document has many entries. Lists of an entry's group
+#: that go with it at most.
+POSTED_BITS, POSTED_FINE, POSTED_LISTS = 256, 1024, 64
+#: Bytes that a task holds of units before it hands them on.
+UNIT_BYTES = 32 << 20
+#: Rows of long parity bits in an Arrow batch.
+LONG = 500
 #: Postings of a block of whole lists, and of a task before it hands on its blocks.
 BLOCK_POSTINGS, HELD_POSTINGS = 500_000, 1_000_000
 #: Postings of one list that one task compares; longer lists are cut.
@@ -150,6 +158,19 @@ def differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def folded(nodes: DataFrame, most: int) -> DataFrame:
+    """sid and bits of nodes, folded to so many bytes at most."""
+
+    def fold(x: bytes) -> bytes:
+        return x if len(x) <= most else np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, most)).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(fold, b.column(1).to_pylist()), pa.binary())], names=["sid", "bits"])
+
+    return small_batches(nodes.select("sid", "bits")).mapInArrow(run, "sid long, bits binary")
+
+
 def halves(raw: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(raw)
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
@@ -189,9 +210,9 @@ def doc_sets(docs: DataFrame, k: int, like: Similarity, classes: np.ndarray) ->
     return small_batches(docs.select("doc", "key", "text")).mapInArrow(run, schema)
 
 
-def wide(df: DataFrame) -> DataFrame:
+def wide(df: DataFrame, rows: int = WIDE) -> DataFrame:
     """df, whose rows of numbers are handed to Python in longer batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(WIDE))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 
 
@@ -339,8 +360,8 @@ def fine_parity(texts: DataFrame, k: int, like: Similarity) -> DataFrame:
     return small_batches(texts.select("sid", "body")).mapInArrow(run, "sid long, n int, bits binary")
 
 
-def near_enough(pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, b) of nodes that their sizes and parity bits don't exclude."""
+def near_enough(pairs: DataFrame, nodes: DataFrame, like: Similarity, rows: int = WIDE) -> DataFrame:
+    """The pairs (a, b) of nodes that their sizes and parity bits don't exclude; so many go to Python at once."""
     side = lambda a: nodes.select(F.col("sid").alias(a), F.col("n").alias(f"n{a}"), F.col("bits").alias(f"bits{a}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,20 +373,21 @@ def near_enough(pairs: DataFrame, nodes: DataFrame, like: Similarity) -> DataFra
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
     fits = (F.least("na", "nb") * like.den >= F.greatest("na", "nb") * like.num)
-    return wide(joined.where(fits)).mapInArrow(run, "a long, b long")
+    return wide(joined.where(fits), rows).mapInArrow(run, "a long, b long")
 
 
-def units(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
+def units(batches: Iterator[pa.RecordBatch], least: int = 20_000, most: int = UNIT_BYTES) -> Iterator[pa.Table]:
     """Tables of whole units (list, block), of rows sorted by them: at least so many
-    rows where there are as many, and one unit more at most."""
+    rows or bytes where there are as many, and one unit more at most."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
         n += b.num_rows
-        if n < least:
+        size += b.nbytes
+        if n < least and size < most:
             continue
         t = pa.Table.from_batches(held)
         x, y = t["list"].to_numpy(), t["block"].to_numpy()
@@ -375,6 +397,7 @@ def units(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa
             yield t.slice(0, cut)
             held = t.slice(cut).to_batches()
             n -= cut
+            size = sum(x.nbytes for x in held)
     if held:
         yield pa.Table.from_batches(held)
 
@@ -438,27 +461,37 @@ def with_partner(entries: DataFrame, like: Similarity) -> DataFrame:
     return rows.mapInArrow(run, entries.select(*UNIT[:-1]).schema)
 
 
+def least_common(x: tuple[frozenset, int | None], y: tuple[frozenset, int | None], here: int) -> int:
+    """The least list of two groups that are both in the list here. x, y: the group's
+    least lists, and the greatest of these if it has others. Where they have none in
+    common up to there, it isn't known, and here is taken for it."""
+    to = min((z for z in (x[1], y[1]) if z is not None), default=here)
+    return min((z for z in x[0] & y[0] if z <= to), default=here)
+
+
 def group_pairs(entries: DataFrame, like: Similarity) -> DataFrame:
-    """entries (UNIT and lists: all lists of the group): pairs of groups (a, b) that no
-    bound excludes, once each: a pair is taken in the least list that both are in. (Where
-    a bound excludes it in one of their lists, it can't link.)"""
-    rows = wide(entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT, "lists"))
+    """entries (UNIT, lists: the least lists of the group, in_lists: how many it is in):
+    pairs of groups (a, b) that no bound excludes, once each: a pair is taken in the least
+    list that both are in. (Where a bound excludes it in one of their lists, it can't link.)
+    Where that list isn't known, it is taken in several, and once in the end."""
+    rows = wide(entries.repartition("list", "block").sortWithinPartitions("list", "block", "n", "gid").select(*UNIT, "lists", "in_lists"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(batches):
             gid, at = t["gid"].to_numpy(), t["list"].to_numpy()
-            lists: dict[int, frozenset] = {}
+            lists: dict[int, tuple[frozenset, int | None]] = {}
             for i, j in open_pairs(t, like):
                 for r in np.unique(np.concatenate([i, j])):
                     if gid[r] not in lists:
-                        lists[gid[r]] = frozenset(t["lists"][int(r)].as_py())
-                least = np.fromiter((min(lists[x] & lists[y]) for x, y in zip(gid[i], gid[j], strict=True)), dtype=np.int64, count=len(i))
+                        own = t["lists"][int(r)].as_py()
+                        lists[gid[r]] = frozenset(own), max(own) if t["in_lists"][int(r)].as_py() > len(own) else None
+                least = np.fromiter((least_common(lists[x], lists[y], z) for x, y, z in zip(gid[i], gid[j], at[i], strict=True)), dtype=np.int64, count=len(i))
                 mine = least == at[i]
                 i, j = i[mine], j[mine]
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(gid[i], gid[j])), pa.array(np.maximum(gid[i], gid[j]))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def cut_lists(entries: DataFrame, like: Similarity) -> DataFrame:
@@ -545,16 +578,17 @@ def similar_sets(source: DataFrame, k: int, like: Similarity) -> tuple[DataFrame
 
     # Round 2: what is left between components.
     known = written(members.join(labels.select(F.col("node").alias("sid"), F.col("component").alias("found")), "sid", "left").select("sid", "gid", "n", F.coalesce("found", "sid").alias("comp")))
-    held = known.join(nodes.select("sid", "bits"), "sid").groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("members"), F.first("bits").alias("bits"))
+    held = known.join(folded(nodes, POSTED_BITS), "sid").groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("members"), F.first("bits").alias("bits"))
     held = held.select("gid", "n", "c1", "c2", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
     coarse = written(with_partner(listed(postings, held, like), like))
     mixed_groups = held.where("c1 <> c2").select("gid")
     texts = written(texts_of(source, nodes, known.join(coarse.select("gid").unionByName(mixed_groups).distinct(), "gid").select("sid")))
     fine = written(fine_parity(texts, k, like))
-    alone = known.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members = 1").join(fine.select(F.col("sid").alias("gid"), "bits"), "gid").select("gid", "bits")
-    lists = coarse.groupBy("gid").agg(F.collect_set("list").alias("lists"))  # of one prefix
+    alone = known.groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members = 1").join(folded(fine, POSTED_FINE).select(F.col("sid").alias("gid"), "bits"), "gid").select("gid", "bits")
+    lists = coarse.groupBy("gid").agg(F.sort_array(F.collect_set("list")).alias("all"))  # of one prefix
+    lists = lists.select("gid", F.slice("all", 1, POSTED_LISTS).alias("lists"), F.size("all").alias("in_lists"))
     near = written(group_pairs(coarse.join(lists.join(alone, "gid", "left"), "gid"), like))
-    pairs = written(near_enough(member_pairs(near, known), fine, like))
+    pairs = written(near_enough(member_pairs(near, known), fine, like, LONG))
     more = verified(pairs, texts, k, like)
     final = connected_components(links.unionByName(more))
     remove_tables(before, keep=[made, nodes, final])

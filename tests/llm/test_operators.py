@@ -408,6 +408,43 @@ def test_jaccard_join(spark, monkeypatch, seed, k, num, den, block):
     assert sorted(map(tuple, got), key=str) == reference_components(rows, k, num, den)
 
 
+@pytest.mark.parametrize(("bits", "lists"), [(8, 1), (8, 3), (256, 64)])
+def test_jaccard_join_of_long_near_copies(spark, monkeypatch, bits, lists):
+    """Folded bits and the least lists only, in place of all of them, lose no link."""
+    monkeypatch.setattr(simjoin, "POSTED_BITS", bits)
+    monkeypatch.setattr(simjoin, "POSTED_FINE", bits)
+    monkeypatch.setattr(simjoin, "POSTED_LISTS", lists)
+    rnd = random.Random(7)
+    rows = []
+    for base in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+        for each in (0, 95, 50, 40, 35, 20):
+            new = list(words)
+            for at in range(rnd.randrange(each) if each else len(new), len(new), each or 1):
+                new[at] = f"new{rnd.random()}"
+            rows.append((len(rows), " ".join(new)))
+    got = simjoin.similar_documents(docs_of(spark, rows), 5, 80, 100).collect()
+    assert sorted(tuple(r) for r in got) == sorted(reference_components(rows, 5, 80, 100))
+
+
+def test_long_documents_send_short_entries(spark, monkeypatch):
+    """Of a document of 6,000 words, each of 1,200 entries carried all its lists and 16 kB of bits."""
+    rnd = random.Random(8)
+    words = [f"w{rnd.random()}" for _ in range(6000)]
+    other = [f"v{rnd.random()}" if at % 30 == 7 else w for at, w in enumerate(words)]  # alike, but no link
+    sent, real = [], simjoin.group_pairs
+
+    def seen(entries, like):
+        sent.extend(entries.collect())
+        return real(entries, like)
+
+    monkeypatch.setattr(simjoin, "group_pairs", seen)
+    got = simjoin.similar_documents(docs_of(spark, [(0, " ".join(words)), (1, " ".join(other))]), 5, 80, 100).collect()
+    assert sorted(r.component_id for r in got) == [0, 1]
+    assert len(sent) > 500
+    assert max(len(r["bits"] or b"") + 8 * len(r["lists"]) for r in sent) <= simjoin.POSTED_FINE + 8 * simjoin.POSTED_LISTS
+
+
 def test_jaccard_join_on_odd_tables(spark):
     got = simjoin.similar_documents(odd(spark), 3, 90, 100).collect()
     assert sorted(map(tuple, got), key=str) == reference_components(ODD, 3, 90, 100)
