@@ -495,18 +495,20 @@ def group_pairs(entries: DataFrame, like: Similarity) -> DataFrame:
 
 
 def cut_lists(entries: DataFrame, like: Similarity) -> DataFrame:
-    """Entries of long lists with the units of work they go to.
+    """Entries of long lists with the units of work they go to (UNIT without bits).
 
     A list is cut by size first: sizes of one range meet each other, and those of the
     range below come as visitors. What is still long is cut into blocks: entries of the
     unit's largest component, which need not meet each other, and the others; each
-    block of others meets itself and all other blocks."""
+    block of others meets itself and all other blocks. Ranges of one component only are
+    left out before any entry is doubled for the range that it visits."""
     ratio = float(np.log(like.den / like.num)) * (1 + 1e-9)  # two sizes that may link are never two ranges apart
     own = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
-    base = entries.withColumn("range", own)
-    both = base.withColumn("visits", F.lit(0)).unionByName(base.withColumn("range", F.col("range") + 1).withColumn("visits", F.lit(1)))
+    base = entries.withColumn("own", own)
     one = F.when(F.col("c1") == F.col("c2"), F.col("c1"))
-    each = both.groupBy("list", "range", one.alias("c")).agg(F.count(F.lit(1)).alias("m"), F.min("c1").alias("c1"), F.max("c2").alias("c2"), F.min("visits").alias("visits"))
+    ranges = base.groupBy("list", "own", one.alias("c")).agg(F.count(F.lit(1)).alias("m"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+    visited = lambda d, v, by: d.withColumn("range", F.col("own") + by).withColumn("visits", F.lit(v))
+    each = visited(ranges, 0, 0).unionByName(visited(ranges, 1, 1)).groupBy("list", "range", "c").agg(F.sum("m").alias("m"), F.min("c1").alias("c1"), F.max("c2").alias("c2"), F.min("visits").alias("visits"))
     sums = (
         each.groupBy("list", "range")
         .agg(F.sum("m").alias("m"), F.max(F.struct(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0).alias("m"), F.col("c"))).alias("top"), F.min("c1").alias("c1"), F.max("c2").alias("c2"), F.min("visits").alias("visits"))
@@ -515,21 +517,24 @@ def cut_lists(entries: DataFrame, like: Similarity) -> DataFrame:
     parts = lambda m: F.ceil(m / BLOCK).cast("int")
     short = F.col("m") <= BLOCK
     sums = sums.select("list", "range", F.when(short, F.lit(1)).otherwise(F.greatest(parts(F.col("m") - F.col("top.m")), F.lit(1))).alias("r"), F.when(short, F.lit(0)).otherwise(parts(F.col("top.m"))).alias("d"), F.col("top.c").alias("top"))
-    sized = both.join(sums, ["list", "range"])
+    wanted = sums.withColumn("visits", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("own", F.col("range") - F.col("visits"))
+    sized = base.join(wanted, ["list", "own"])
     in_top = (F.col("d") > 0) & one.eqNullSafe(F.col("top")) & one.isNotNull()
     at = F.when(in_top, F.col("r") + F.pmod(F.xxhash64("gid"), F.greatest(F.col("d"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("gid"), F.col("r"))).cast("int")
     dealt = sized.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_top, F.col("r")).otherwise(F.col("r") + F.col("d")) - 1)))
     lo, hi = F.least("at", "other"), F.greatest("at", "other")
     side = F.when(F.col("at") == F.col("other"), F.lit(-1)).when(F.col("at") == lo, F.lit(0)).otherwise(F.lit(1)) * 2 + F.col("visits")
     block = F.xxhash64("range", lo, hi)
-    return dealt.withColumn("block", block).withColumn("side", side).select(*UNIT)
+    return dealt.withColumn("block", block).withColumn("side", side).select(*UNIT[:-1])
 
 
 def listed(postings: DataFrame, groups: DataFrame, like: Similarity) -> DataFrame:
     """postings with what is known of their groups, in units of work (UNIT)."""
-    entries = postings.drop("n").join(groups.select("gid", "n", "c1", "c2", "bits"), "gid")
-    rare = entries.where("not hot").withColumn("block", F.lit(0).cast("long")).withColumn("side", F.lit(-2)).select(*UNIT)
-    return rare.unionByName(cut_lists(entries.where("hot"), like))
+    known = lambda hot, *more: postings.where(hot).drop("n").join(groups.select("gid", "n", "c1", "c2", *more), "gid")
+    rare = known("not hot", "bits").withColumn("block", F.lit(0).cast("long")).withColumn("side", F.lit(-2)).select(*UNIT)
+    # Bits come last: a hot list has many entries, and most lists of near copies are of one component by now.
+    hot = cut_lists(known("hot"), like).join(groups.select("gid", "bits"), "gid").select(*UNIT)
+    return rare.unionByName(hot)
 
 
 def member_pairs(groups_ab: DataFrame, known: DataFrame) -> DataFrame:
@@ -579,7 +584,7 @@ def similar_sets(source: DataFrame, k: int, like: Similarity) -> tuple[DataFrame
     # Round 2: what is left between components.
     known = written(members.join(labels.select(F.col("node").alias("sid"), F.col("component").alias("found")), "sid", "left").select("sid", "gid", "n", F.coalesce("found", "sid").alias("comp")))
     held = known.join(folded(nodes, POSTED_BITS), "sid").groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("members"), F.first("bits").alias("bits"))
-    held = held.select("gid", "n", "c1", "c2", F.when(F.col("members") == 1, F.col("bits")).alias("bits"))
+    held = written(held.select("gid", "n", "c1", "c2", F.when(F.col("members") == 1, F.col("bits")).alias("bits")))
     coarse = written(with_partner(listed(postings, held, like), like))
     mixed_groups = held.where("c1 <> c2").select("gid")
     texts = written(texts_of(source, nodes, known.join(coarse.select("gid").unionByName(mixed_groups).distinct(), "gid").select("sid")))

@@ -445,6 +445,40 @@ def test_long_documents_send_short_entries(spark, monkeypatch):
     assert max(len(r["bits"] or b"") + 8 * len(r["lists"]) for r in sent) <= simjoin.POSTED_FINE + 8 * simjoin.POSTED_LISTS
 
 
+def test_hot_lists_are_cut_before_bits_are_attached(spark):
+    """Lists of near copies have very many entries: what is dealt by list and range has no parity bits."""
+    like = simjoin.Similarity(80, 100)
+    groups = [(g, 100 + g % 40, 0 if g < 50 else g, 0 if g < 50 else g, bytes([g]) * 8) for g in range(60)]
+    posted = [(t, g, 100 + g % 40, 3, 0, True) for t in range(4) for g in range(60 if t < 2 else 50)] + [(9, g, 100 + g % 40, 3, 0, False) for g in (50, 51)]
+    groups = spark.createDataFrame(groups, "gid long, n int, c1 long, c2 long, bits binary")
+    out = simjoin.listed(spark.createDataFrame(posted, "list long, gid long, n int, pos int, leader long, hot boolean"), groups, like)
+    assert out.columns == simjoin.UNIT
+
+    def exchanges(node):
+        if node.nodeName() == "Exchange":
+            yield node.outputPartitioning().toString(), node.output().mkString(" ")
+        for k in range(node.children().size()):
+            yield from exchanges(node.children().apply(k))
+
+    dealt = [x for x in exchanges(out._jdf.queryExecution().executedPlan().initialPlan()) if x[0].startswith("hashpartitioning(list")]
+    assert dealt
+    assert not [x for x in dealt if "bits#" in x[1]]
+
+    # Lists 2 and 3 are of one component; in the others each pair of sizes near enough meets in one block at least.
+    rows = out.collect()
+    assert {r.list for r in rows} == {0, 1, 9}
+    assert all(r.bits == bytes([r.gid]) * 8 for r in rows)
+    for t in (0, 1):
+        units: dict = {}
+        for r in rows:
+            if r.list == t:
+                units.setdefault(r.block, set()).add(r.gid)
+        for a in range(60):
+            for b in range(max(a + 1, 50), 60):
+                x, y = sorted((100 + a % 40, 100 + b % 40))
+                assert 100 * x < 80 * y or any({a, b} <= u for u in units.values())
+
+
 def test_jaccard_join_on_odd_tables(spark):
     got = simjoin.similar_documents(odd(spark), 3, 90, 100).collect()
     assert sorted(map(tuple, got), key=str) == reference_components(ODD, 3, 90, 100)
